@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as _leaks
 from . import exact_dedup as _exact
+from . import line_dedup as _lines
 from . import mixing as _mixing
+from . import toxicity as _toxic
 from . import url_filter as _urls
 from .scratch import Scratch, plan_bytes
 
@@ -24,6 +27,27 @@ RULES = [
 ]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = _lines.line_dedup(docs, Scratch(spark, "line-dedup"))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_cut").alias("n_cut"), sha.alias("text_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _leaks.judge(docs, table(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = _toxic.score(docs, _toxic.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixing"))
     return found.withColumnRenamed("id", "doc_id")
@@ -41,11 +65,41 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_TRIM = "regexp_replace(regexp_replace({}, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
+
 ORACLE = {
+    "op2_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT r, source, p, ls[p] AS raw, {_TRIM.format("ls[p]")} AS line FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+        b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '')) >= 10),
+        m AS (SELECT l.r, p, raw, line, line IN (SELECT line FROM b) AS bad FROM l),
+        s AS (SELECT r, count(*) FILTER (line <> '') AS n_lines, sum(strlen(line)) AS total, coalesce(sum(strlen(line)) FILTER (bad), 0) AS lost,
+                     count(*) FILTER (bad) AS n_bad FROM m GROUP BY r),
+        k AS (SELECT r, n_lines, lost > 0 AND lost * 2 <= total AS cut, n_bad FROM s),
+        t AS (SELECT m.r, string_agg(raw, chr(10) ORDER BY p) FILTER (NOT (cut AND bad)) AS body, max(p) AS last_p,
+                     max(p) FILTER (NOT (cut AND bad)) AS last_kept FROM m JOIN k USING (r) GROUP BY m.r)
+        SELECT doc_id, n_lines, CASE WHEN cut THEN n_bad ELSE 0 END AS n_cut,
+               sha256(coalesce(body, '') || CASE WHEN last_kept < last_p THEN chr(10) ELSE '' END) AS text_sha256
+        FROM d JOIN k USING (r) JOIN t USING (r)""",
+    "op6_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, list_slice(w, p, p + least(10, len(w)) - 1) AS win
+               FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+        dw AS (SELECT r, p, n, list_slice(w, p, p + n - 1) AS win
+               FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        hit AS (SELECT dw.r, dw.p, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+        cov AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM hit)) GROUP BY r),
+        its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)""",
     "op9_exact_dedup": f"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) AS text_sha256
