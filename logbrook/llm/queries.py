@@ -11,6 +11,7 @@ from . import line_dedup as _lines
 from . import mixing as _mixing
 from . import toxicity as _toxic
 from . import url_filter as _urls
+from . import warc as _warc
 from .scratch import Scratch, plan_bytes
 
 
@@ -34,6 +35,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_cut").alias("n_cut"), sha.alias("text_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return _warc.round_trip(pages, Scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _leaks.judge(docs, table(spark, sf_dir, "benchmark"))
@@ -65,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_warc, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -87,6 +93,15 @@ ORACLE = {
         SELECT doc_id, n_lines, CASE WHEN cut THEN n_bad ELSE 0 END AS n_cut,
                sha256(coalesce(body, '') || CASE WHEN last_kept < last_p THEN chr(10) ELSE '' END) AS text_sha256
         FROM d JOIN k USING (r) JOIN t USING (r)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS best FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 cast(((cast('0x' || substr(x, cast((i // 8) * 10 + 1 AS int), 10) AS bigint) >> cast(35 - 5 * (i % 8) AS int)) & 31) + 1 AS int), 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+        FROM h""",
     "op6_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark),

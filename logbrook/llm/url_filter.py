@@ -88,12 +88,18 @@ def _bloom(keys: DataFrame, n: int, rate: float, level: int) -> tuple[list[int],
     return words, k
 
 
+def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
+    if any("\n" in x for x in keys):
+        raise ValueError("a rule holds a newline")
+    return spark.range(1).select(F.explode(F.split(F.lit("\n".join(sorted(set(keys)))), "\n")).alias("key"))
+
+
 def build(spark: SparkSession, listed: list[str], universe: DataFrame, most_levels: int = 64) -> Cascade:
     """`universe` (column key, distinct) is read once per level and shrinks to false positives from level 2 on."""
     cascade = Cascade()
     if not listed:
         return cascade
-    yes = spark.createDataFrame([(x,) for x in sorted(set(listed))], "key string")
+    yes = _keys(spark, listed)
     no = universe.join(yes, "key", "left_anti")
     n_yes, n_no = len(set(listed)), universe.count()
     sides, counts = [yes, no], [n_yes, n_no]
@@ -137,7 +143,7 @@ class UrlFilter:
             once = urls.select(host.alias("h"), path.alias("p"))
             universe = once.select(F.explode(F.array(*candidates(F.col("h"), F.col("p"), rules))).alias("key")).distinct()
             self.listed = build(spark, [r.key for r in rules], universe)
-            self.blocking = build(spark, [r.key for r in rules if r.verdict == "block"], universe.join(spark.createDataFrame([(r.key,) for r in rules], "key string"), "key", "left_semi"))
+            self.blocking = build(spark, [r.key for r in rules if r.verdict == "block"], universe.join(_keys(spark, [r.key for r in rules]), "key", "left_semi"))
 
     def judge(self, df: DataFrame, *carry: str, url_col: str = "url") -> DataFrame:
         """carry columns, host, path, rule (the longest that fits, or null) and verdict."""
