@@ -9,6 +9,7 @@ from . import decontaminate as _leaks
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
 from . import mixing as _mixing
+from . import near_dedup as _near
 from . import toxicity as _toxic
 from . import url_filter as _urls
 from . import warc as _warc
@@ -35,6 +36,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_cut").alias("n_cut"), sha.alias("text_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _near.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "near-dedup"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return _warc.round_trip(pages, Scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_warc, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_warc, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -93,6 +100,19 @@ ORACLE = {
         SELECT doc_id, n_lines, CASE WHEN cut THEN n_bad ELSE 0 END AS n_cut,
                sha256(coalesce(body, '') || CASE WHEN last_kept < last_p THEN chr(10) ELSE '' END) AS text_sha256
         FROM d JOIN k USING (r) JOIN t USING (r)""",
+    "op3_near_dedup": """
+        WITH RECURSIVE
+        w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, doc_id, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS g
+              FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM w WHERE len(w) > 0)),
+        n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+        c AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+        l AS (SELECT DISTINCT na.doc_id AS a, nb.doc_id AS b FROM c JOIN n na ON na.r = c.a JOIN n nb ON nb.r = c.b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+        reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+        m AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT w.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id,
+               least(w.doc_id, coalesce(m.b, w.doc_id)) = w.doc_id AS kept
+        FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN m ON m.a = w.doc_id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS best FROM p)
