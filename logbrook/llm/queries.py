@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as _leaks
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
+from . import lm_score as _lm
 from . import mixing as _mixing
 from . import near_dedup as _near
 from . import toxicity as _toxic
@@ -47,6 +48,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.round_trip(pages, Scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lm-score"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _leaks.judge(docs, table(spark, sf_dir, "benchmark"))
@@ -78,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_warc, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_warc, op5_lm_score, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
