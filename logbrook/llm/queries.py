@@ -11,6 +11,7 @@ from . import line_dedup as _lines
 from . import lm_score as _lm
 from . import mixing as _mixing
 from . import near_dedup as _near
+from . import substring_dedup as _substring
 from . import toxicity as _toxic
 from . import url_filter as _urls
 from . import warc as _warc
@@ -30,6 +31,11 @@ RULES = [
 ]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _substring.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "substring-dedup"))
+    return found.withColumnsRenamed({"id": "doc_id", "anchor": "first_doc_id", "anchor_start": "first_start", "anchor_end": "first_end"})
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = _lines.line_dedup(docs, Scratch(spark, "line-dedup"))
@@ -84,7 +90,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_warc, op5_lm_score, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_near_dedup, op4_warc, op5_lm_score, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
