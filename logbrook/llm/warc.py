@@ -80,15 +80,24 @@ def record(kind: str, rid: str, block: bytes, **fields: object) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def members(archive: bytes, window: int = 64 << 10):
+    """Each gzip member's text; what is left over after a member's end is never more than a window."""
+    at, data = 0, memoryview(archive)
+    while at < len(data):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(data):
+                raise ValueError("an archive member is cut short")
+            step = data[at : at + window]
+            parts.append(unpacker.decompress(step))
+            at += len(step)
+        at -= len(unpacker.unused_data)
+        yield b"".join(parts)
+
+
 def records(archive: bytes):
     """(headers with lower-case names, block) of each record; members may hold one or more records."""
-    at, data, start = 0, memoryview(archive), 0
-    while at < len(data):
-        unpacker = zlib.decompressobj(31)
-        text = unpacker.decompress(data[at:]) + unpacker.flush()
-        if not unpacker.eof:
-            raise ValueError("an archive member is cut short")
-        at = len(data) - len(unpacker.unused_data)
+    for text in members(archive):
         start = 0
         while start < len(text):
             end = text.index(b"\r\n\r\n", start)
