@@ -26,10 +26,11 @@ def stem(path: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    """One decimal, ties to even."""
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit("B")))
-        .when(size < 1024 * 1024, F.format_string("%.1fKB", size / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1fMB", size / F.lit(1024.0 * 1024.0)))
+        .when(size < 1024 * 1024, F.format_string("%.1fKB", F.bround(size / F.lit(1024.0), 1)))
+        .otherwise(F.format_string("%.1fMB", F.bround(size / F.lit(1024.0 * 1024.0), 1)))
     )
 
 

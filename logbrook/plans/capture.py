@@ -35,9 +35,9 @@ def evidence(files: DataFrame, *keys: str) -> DataFrame:
 
     rows = files.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("path"))).where(F.col("n") <= MAX_EVIDENCE)
     name = F.concat(F.lit("evidence_"), F.lpad(F.col("n").cast("string"), 3, "0"), F.lit(".txt"))
-    rows = rows.select(*keys, name.alias("name"), basename(F.col("path")).alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    each = rows.select(*keys, F.concat(F.lit("evidence/"), "name").alias("path"), F.lit("evidence").alias("role"), "text")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("name").alias("file"), "source")))
+    rows = rows.select(*keys, name.alias("_file"), basename(F.col("path")).alias("_from"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    each = rows.select(*keys, F.concat(F.lit("evidence/"), "_file").alias("path"), F.lit("evidence").alias("role"), "text")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_file").alias("file"), F.col("_from").alias("source"))))
     index = rows.groupBy(*keys).agg(F.to_json(F.struct(listed.alias("files"))).alias("text"))
     return each.unionByName(index.select(*keys, F.lit("evidence/index.json").alias("path"), F.lit("evidence_index").alias("role"), "text"))
 

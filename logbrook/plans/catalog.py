@@ -360,7 +360,7 @@ def _incidents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(e % 11 == 0, F.left(body, F.lit(20))).otherwise(body).alias("value"))
 
 
-@query("""SELECT event_id, 'inc-' || event_id AS incident_id, CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'unknown' END AS agent, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS unknown_fields,
+@query("""SELECT event_id, 'inc-' || event_id AS incident_id, CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'unknown' END AS agent, cast(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS bigint) AS unknown_fields,
                  CASE WHEN event_id % 4 <> 0 THEN 'agent,' ELSE '' END || 'producer,producer_version,session_ref' AS source_keys FROM events WHERE event_id % 11 <> 0""")
 def incident_projection(spark, sf_dir):
     rows = _incidents(spark, sf_dir).withColumn("v", F.try_parse_json("value")).where("v is not null")
