@@ -54,7 +54,9 @@ def minimizers(tokens: K.Tokens, k: int = SEED, window: int = WINDOW) -> tuple[n
     low, span = order, 1
     while span < window:  # the least of `window` places from each place on, by doubling
         step = min(span, window - span)
-        low = np.minimum(low, np.concatenate([low[step:], np.full(step, K.U64(0xFFFFFFFFFFFFFFFF))]))
+        later = np.full(len(low), K.U64(0xFFFFFFFFFFFFFFFF))
+        later[: max(0, len(low) - step)] = low[step:]
+        low = np.minimum(low, later)
         span += step
     low = low[low != K.U64(0xFFFFFFFFFFFFFFFF)]
     at = np.unique((low & ((K.U64(1) << bits) - K.U64(1))).astype(np.int64))
