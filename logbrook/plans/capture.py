@@ -68,7 +68,7 @@ def preview(files: DataFrame, salt: str | None = None, *keys: str) -> DataFrame:
     return report.preview(report.inventory(redact_files(files, salt), "path", "text", *keys), *keys)
 
 
-def capture(spark: SparkSession, agent: str, home: str, selector: str, folder: str, extra: DataFrame | None = None, salt: str | None = None, allow_blocked: bool = False) -> DataFrame:
+def capture(spark: SparkSession, agent: str, home: str, selector: str, folder: str, extra: DataFrame | None = None, salt: str | None = None, allow_blocked: bool = False, registry: Registry | None = None) -> DataFrame:
     """Bundles of the selected sessions; rows (bundle_id, path, bytes, sha256).
 
     extra: session_id, path, role, text of further files.  Sessions whose preview blocks the export
@@ -83,7 +83,7 @@ def capture(spark: SparkSession, agent: str, home: str, selector: str, folder: s
     env = sessions.select("session_id", F.lit("environment.json").alias("path"), F.lit("environment").alias("role"), F.lit(json.dumps({k: v for k, v in environment().items() if k != "hostname"})).alias("text"))
     files = files.unionByName(env)
     files = files.unionByName(extra) if extra is not None else files
-    done = redact_files(files, salt).withColumn("bundle_id", F.concat(F.lit("bnd_"), F.substring(F.sha2(F.concat(F.lit(salt), "session_id").cast("binary"), 256), 1, 20))).cache()
+    done = redact_files(files, salt, registry).withColumn("bundle_id", F.concat(F.lit("bnd_"), F.substring(F.sha2(F.concat(F.lit(salt), "session_id").cast("binary"), 256), 1, 20))).cache()
     totals = report.preview(report.inventory(done, "path", "text", "bundle_id"), "bundle_id")
     allowed = totals if allow_blocked else totals.where("not export_blocked")
     reports = report.report(done, "bundle_id").select("bundle_id", F.lit("redaction-report.json").alias("path"), F.lit("redaction_report").alias("role"), F.col("report").alias("content"))

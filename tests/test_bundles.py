@@ -4,10 +4,12 @@ import tarfile
 
 from pyspark.sql import functions as F
 
+from logbrook.functions.patterns import PATTERNS, Registry
 from logbrook.operators import manifest, verify
 from logbrook.plans import capture
 from logbrook.sources import archives
 
+FEW = Registry(tuple(p for p in PATTERNS if p.name in ("aws_access_key", "email")))
 FACTS = f"bundle_id string, created_at string, source struct<{manifest.OBJECTS['source']}>, redaction struct<{manifest.OBJECTS['redaction']}>, reproduction struct<{manifest.OBJECTS['reproduction']}>"
 
 
@@ -73,7 +75,7 @@ def test_capture_end_to_end(spark, tmp_path):
     file = tmp_path / "home/.hermes/sessions/run.jsonl"
     file.parent.mkdir(parents=True)
     file.write_text("\n".join(json.dumps(x) for x in ({"role": "user", "content": "mail me@example.org"}, {"role": "assistant", "content": "done"})))
-    made = capture.capture(spark, "hermes", f"file://{tmp_path}/home", "last", f"file://{tmp_path}/out", salt="s").collect()
+    made = capture.capture(spark, "hermes", f"file://{tmp_path}/home", "last", f"file://{tmp_path}/out", salt="s", registry=FEW).collect()
     assert len(made) == 1
     members = {r.name: bytes(r.content).decode() for r in archives.read_members(spark, f"file://{tmp_path}/out/*").collect()}
     assert "me@example.org" not in "".join(members.values())
@@ -87,7 +89,7 @@ def test_streamed_redaction(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("me@example.org\nplain\n")
-    out = redaction.redacted(redaction.lines(spark, f"file://{tmp_path}/in"), "s")
+    out = redaction.redacted(redaction.lines(spark, f"file://{tmp_path}/in"), "s", FEW)
     run = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert {r.redacted[:15] for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("redacted")).collect()} == {"<REDACTED_email", "plain"}
