@@ -10,8 +10,9 @@ independent trees bring the chance of missing it to well under one in a thousand
 A node of at most LEAF members is compared exhaustively.  A larger node is split by how similar its
 members are to its pivot: those unlike it branch on, those very like it can't be told apart by
 branching and are compared with the pivot and within chunks of LEAF members, and the ones in between
-do both.  After a round of links, members that already share a component need no further comparing;
-what is left of such a node (the few outside the main component) is compared with every chunk.
+do both.  After a first round of links, members that share a component need no further comparing;
+leaves with several components are compared, and what is left of a large node (the few outside its
+main component) is compared with every chunk of it.
 
 Comparisons are made in two steps: signatures drop members that resemble nobody in their node, then
 links are confirmed on full shingle sets, which are only computed for the members that are left.  A
@@ -36,8 +37,12 @@ from . import kernels as K
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.75
-COORDINATES, TREES, LEAF, DEPTH = 64, 12, 64, 10
-LIKELY, CORE = 0.5, 0.92
+COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
+#: Signatures must agree this far before sets are compared (nearly three standard errors below the
+#: threshold); in a large node, members this like its pivot form a star, and those below CORE branch on.
+LIKELY, CORE = 0.6, 0.9
+#: Trees whose stars are compared before anything else, each with pivots of its own.
+STAR_TREES = 3
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -46,8 +51,13 @@ _A = (_RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | 1)[:, None]
 _B = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = (shingles >> K.U64(32)).astype(np.uint32)
+def compact(shingles: np.ndarray) -> np.ndarray:
+    """Sets travel as 32 bits a shingle, sorted; a pair of sets has a false common one rarely, and hardly ever at the threshold."""
+    return np.sort((shingles >> K.U64(32)).astype(np.uint32))
+
+
+def signature(low: np.ndarray) -> np.ndarray:
+    """From a compact set."""
     best = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 2048):
         x = _A * (low[at : at + 2048] ^ _B)
@@ -70,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 full = [len(s) > 0 for s in sets]
                 d = [class_of(s) if f else (None, None) for s, f in zip(sets, full)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([signature(s).tobytes() if f else None for s, f in zip(sets, full)], pa.binary())],
+                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([signature(compact(s)).tobytes() if f else None for s, f in zip(sets, full)], pa.binary())],
                     names=["id", "n_shingles", "d1", "d2", "sig"],
                 )
 
@@ -218,7 +228,7 @@ def _join(threshold: float):
     def run(batches):
         for table in K.groups(batches, "grp"):
             group, ids, labels = (table.column(c).to_numpy() for c in ("grp", "id", "label"))
-            sets = [np.frombuffer(x, K.U64) for x in table.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
             out: list[tuple[int, int]] = []
             at = K.edges(group)
             for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -243,7 +253,7 @@ def _sets(shingle: int):
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column("text")):
                 sets = K.shingle_sets(K.tokenize(data, offsets, K.NOT_SPACE), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([compact(s).tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -265,23 +275,24 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     leaves, stars = trees(classes, scratch, threshold)
     rows = leaves.join(classes, "id").repartition("node").sortWithinPartitions("node", "id")
     likely = scratch.write(rows.select("node", "tree", "id", "sig").mapInArrow(_resembling, "node long, tree long, id long"), "likely")
-    grouped = likely.select(F.col("node").alias("grp"), "tree", "id").unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "tree", "id"))
+    grouped = likely.select(F.col("node").alias("grp"), "tree", "id", F.lit(False).alias("star"))
+    grouped = grouped.unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "tree", "id", F.lit(True).alias("star")))
     wanted = scratch.write(grouped.select("id").distinct(), "wanted")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     few = wanted.count() <= BROADCAST_IDS
     picked = picked.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     sets = scratch.write(picked.mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
 
-    first = scratch.write(_links(grouped.where("tree = 0").select("grp", "id", F.col("id").alias("label")), sets, threshold), "links-1")
+    begin = grouped.where(f"tree = 0 or star and tree < {STAR_TREES}")
+    first = scratch.write(_links(begin.select("grp", "id", F.col("id").alias("label")), sets, threshold), "links-1")
     known = components(first, scratch, "round-1")
-    labelled = grouped.join(known, "id", "left").select("grp", "tree", "id", F.coalesce("component", "id").alias("label"))
-    labelled = scratch.write(labelled, "labelled")
-    open_ = labelled.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
-    second = scratch.write(_links(labelled.where("tree > 0").join(open_, "grp", "left_semi").select("grp", "id", "label"), sets, threshold), "links-2")
-    known = components(first.unionByName(second), scratch, "round-2")
+    rest = grouped.where("tree > 0 and not star").join(known, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
+    rest = scratch.write(rest, "labelled")
+    open_ = rest.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
+    second = scratch.write(_links(rest.join(open_, "grp", "left_semi"), sets, threshold), "links-2")
+    links = first.unionByName(second)
     third = _outsiders(stars, known, sets, threshold, scratch)
-    if third is not None:
-        known = components(first.unionByName(second).unionByName(third), scratch, "round-3")
+    known = components(links.unionByName(third) if third is not None else links, scratch, "round-2")
     found = scratch.write(named.join(known, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
     scratch.drop("classes", "leaves", "stars", "likely", "wanted", "sets", "labelled", "links-1", "links-2", "links-3", "named")
     out = prints.select("id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
@@ -289,7 +300,11 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
 
 
 def _outsiders(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: float, scratch) -> DataFrame | None:
-    """Members of large nodes that their pivots' component doesn't hold, against every chunk of the node."""
+    """Members of large nodes that the main component doesn't hold, against every chunk of the node.
+
+    Where more than LEAF are left, the node holds several groups, and its members below CORE have
+    branched on in every tree, each with pivots of its own.
+    """
     labelled = stars.join(known, "id", "left").select("node", "chunk", "id", F.coalesce("component", "id").alias("label")).distinct()
     counts = labelled.select("node", "id", "label").distinct().groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("node", F.col("m.label").alias("main"))
@@ -297,11 +312,8 @@ def _outsiders(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: f
     if not mixed.take(1):
         return None
     outside = mixed.where("label <> main").select("node", "id", "label").distinct()
-    per_node = outside.groupBy("node").agg(F.count(F.lit(1)).alias("o"))
-    blocks = per_node.select("node", F.ceil(F.col("o") / LEAF).cast("long").alias("blocks"))
-    chunks = mixed.select("node", "chunk").distinct()
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    there = outside.join(blocks, "node").select("node", "id", "label", block.alias("block")).join(chunks, "node")
-    inside = mixed.join(blocks, "node").select("node", "chunk", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    both = there.select("node", "chunk", "block", "id", "label").unionByName(inside.select("node", "chunk", "block", "id", "label")).distinct()
-    return scratch.write(_links(both.select(F.xxhash64("node", "chunk", "block").alias("grp"), "id", "label"), sets, threshold), "links-3")
+    few = outside.groupBy("node").agg(F.count(F.lit(1)).alias("o")).where(F.col("o") <= LEAF).select("node")
+    there = outside.join(few, "node").join(mixed.select("node", "chunk").distinct(), "node").select("node", "chunk", "id", "label")
+    inside = mixed.join(few, "node").select("node", "chunk", "id", "label")
+    both = there.unionByName(inside).distinct()
+    return scratch.write(_links(both.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"), sets, threshold), "links-3")
