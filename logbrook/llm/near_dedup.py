@@ -38,9 +38,10 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.75
 COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
-#: Signatures must agree this far before sets are compared (nearly three standard errors below the
-#: threshold); in a large node, members this like its pivot form a star, and those below CORE branch on.
-LIKELY, CORE = 0.6, 0.9
+#: Signatures must agree this far before sets are compared: over four standard errors below the threshold.
+LIKELY = 0.5
+#: In a large node, members this like its pivot form a star, and those below CORE branch on.
+STAR, CORE = 0.6, 0.9
 #: Trees whose stars are compared before anything else, each with pivots of its own.
 STAR_TREES = 3
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
@@ -133,7 +134,7 @@ def _grow(threshold: float):
             node, tree, ids, chunks = (batch.column(c).to_numpy() for c in ("node", "tree", "id", "chunks"))
             sigs, pivots = _matrix(batch.column("sig")), _matrix(batch.column("pivot_sig"))
             like = (sigs == pivots).mean(axis=1)
-            star = np.flatnonzero(like >= LIKELY)
+            star = np.flatnonzero(like >= STAR)
             on = np.flatnonzero(like < CORE)
             who, child = branch(node[on], sigs[on], threshold)
             who = on[who]
