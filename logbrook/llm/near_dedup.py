@@ -11,8 +11,10 @@ A node of at most LEAF members is compared exhaustively.  A larger node is split
 members are to its pivot: those unlike it branch on, those very like it can't be told apart by
 branching and are compared with the pivot and within chunks of LEAF members, and the ones in between
 do both.  After a first round of links, members that share a component need no further comparing;
-leaves with several components are compared, and what is left of a large node (the few outside its
-main component) is compared with every chunk of it.
+leaves with several components are compared.  What is then left of a large node, the members outside
+its main component, is compared with all of the node, however many they are: blocks of signatures
+first, then the sets of what is alike.  So pairs that share a large node are never missed by how its
+members fell into chunks.
 
 Comparisons are made in two steps: signatures drop members that resemble nobody in their node, then
 links are confirmed on full shingle sets, which are only computed for the members that are left.  A
@@ -42,8 +44,8 @@ COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
 LIKELY = 0.5
 #: In a large node, members this like its pivot form a star, and those below CORE branch on.
 STAR, CORE = 0.6, 0.9
-#: Trees whose stars are compared before anything else, each with pivots of its own.
-STAR_TREES = 3
+#: Signatures that are compared with as many others at a time.
+BLOCK = 1024
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -284,7 +286,7 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     picked = picked.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     sets = scratch.write(picked.mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
 
-    begin = grouped.where(f"tree = 0 or star and tree < {STAR_TREES}")
+    begin = grouped.where("tree = 0 or star")
     first = scratch.write(_links(begin.select("grp", "id", F.col("id").alias("label")), sets, threshold), "links-1")
     known = components(first, scratch, "round-1")
     rest = grouped.where("tree > 0 and not star").join(known, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
@@ -292,29 +294,62 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     open_ = rest.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
     second = scratch.write(_links(rest.join(open_, "grp", "left_semi"), sets, threshold), "links-2")
     links = first.unionByName(second)
-    third = _outsiders(stars, known, sets, threshold, scratch)
-    known = components(links.unionByName(third) if third is not None else links, scratch, "round-2")
+    known = components(links, scratch, "round-2")
+    third = _outsiders(stars, known, classes, sets, threshold, scratch)
+    if third is not None:
+        known = components(links.unionByName(third), scratch, "round-3")
     found = scratch.write(named.join(known, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
     scratch.drop("classes", "leaves", "stars", "likely", "wanted", "sets", "labelled", "links-1", "links-2", "links-3", "named")
     out = prints.select("id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
     return out.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
-def _outsiders(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: float, scratch) -> DataFrame | None:
-    """Members of large nodes that the main component doesn't hold, against every chunk of the node.
-
-    Where more than LEAF are left, the node holds several groups, and its members below CORE have
-    branched on in every tree, each with pivots of its own.
+def _alike(batches):
+    """Of each block of outsiders and members: those with a likely partner of another label, in groups of at most twice LEAF."""
+    for table in K.groups(batches, "grp"):
+        group, ids, labels = (table.column(c).to_numpy() for c in ("grp", "id", "label"))
+        inside = table.column("inside").to_numpy().astype(bool)
+        sigs = _matrix(table.column("sig"))
+        out: list[tuple[int, np.ndarray]] = []
+        at = K.edges(group)
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            rows, others = x + np.flatnonzero(~inside[x:y]), x + np.flatnonzero(inside[x:y])
+            for i in range(0, len(rows), LEAF):
+                for j in range(0, len(others), LEAF):
+                    a, b = rows[i : i + LEAF], others[j : j + LEAF]
+                    like = np.stack([(sigs[b] == sigs[r]).mean(axis=1) >= LIKELY for r in a]) & (labels[a][:, None] != labels[b])
+                    if like.any():
+                        kept = np.concatenate([a[like.any(axis=1)], b[like.any(axis=0)]])
+                        kept = kept[np.unique(ids[kept], return_index=True)[1]]
+                        name = K.mix(group[x : x + 1].view(K.U64) ^ K.U64((i // LEAF) << 32 | j // LEAF + 1)).view(np.int64)[0]
+                        out.append((int(name), kept))
+        kept = np.concatenate([k for _, k in out]) if out else np.zeros(0, np.int64)
+        names = np.repeat(np.array([n for n, _ in out], np.int64), [len(k) for _, k in out])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[kept]), pa.array(labels[kept])], names=["grp", "id", "label"])
+
+
+def _outsiders(stars: DataFrame, known: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, scratch) -> DataFrame | None:
+    """Members of large nodes that the main component doesn't hold, against all members of the node.
+
+    Of two members with different labels at least one is outside, so all pairs that may add a link are met.
     """
-    labelled = stars.join(known, "id", "left").select("node", "chunk", "id", F.coalesce("component", "id").alias("label")).distinct()
-    counts = labelled.select("node", "id", "label").distinct().groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("node", F.col("m.label").alias("main"))
-    mixed = scratch.write(labelled.join(main, "node"), "mixed")
+    labelled = stars.select("node", "id").distinct().join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.write(labelled, "star-labels")
+    counts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    nodes = nodes.select("node", F.col("m.label").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("o"), blocks(F.col("all")).alias("c"))
+    mixed = scratch.write(labelled.join(nodes, "node"), "mixed")
     if not mixed.take(1):
         return None
-    outside = mixed.where("label <> main").select("node", "id", "label").distinct()
-    few = outside.groupBy("node").agg(F.count(F.lit(1)).alias("o")).where(F.col("o") <= LEAF).select("node")
-    there = outside.join(few, "node").join(mixed.select("node", "chunk").distinct(), "node").select("node", "chunk", "id", "label")
-    inside = mixed.join(few, "node").select("node", "chunk", "id", "label")
-    both = there.unionByName(inside).distinct()
-    return scratch.write(_links(both.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"), sets, threshold), "links-3")
+    place = F.xxhash64("id", "node")
+    one, two = F.pmod(place, F.col("o")), F.pmod(place, F.col("c"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outside = mixed.where("label <> main").select("node", "id", "label", one.alias("i"), each("c").alias("j"), F.lit(False).alias("inside"))
+    members = mixed.select("node", "id", "label", each("o").alias("i"), two.alias("j"), F.lit(True).alias("inside"))
+    both = outside.unionByName(members).select(F.xxhash64("node", "i", "j").alias("grp"), "id", "label", "inside")
+    rows = both.join(classes.select("id", "sig"), "id").repartition("grp").sortWithinPartitions("grp", "id")
+    alike = scratch.write(rows.select("grp", "id", "label", "inside", "sig").mapInArrow(_alike, "grp long, id long, label long"), "alike")
+    found = scratch.write(_links(alike, sets, threshold), "links-3")
+    scratch.drop("star-labels", "mixed", "alike")
+    return found

@@ -43,6 +43,30 @@ def test_near_dedup_with_a_large_group(docs, scratch, monkeypatch):
     assert {k: v[1] for k, v in near(docs, scratch, rows).items()} == components(rows)
 
 
+def family(g, n, edits, pairs, more):
+    """n texts of one template, `edits` words changed in each, and partners of the first ones with `more` words changed."""
+    base = prose(g, 1000, 10**6).split()
+
+    def edited(text, k):
+        text = list(text)
+        for slot in g.sample(range(199), k):
+            text[5 * slot + 2] = f"e{g.randrange(10**9)}"
+        return text
+
+    texts = [edited(base, edits) for _ in range(n)]
+    texts += [edited(texts[i], more) for i in range(pairs)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_dedup_large_nodes_at_the_last_level(docs, scratch, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(near_dedup, "DEPTH", 3)
+    rows = family(rng(21), 160, 19, 24, 25)
+    expected = components(rows)
+    assert len(set(expected.values())) > 100
+    assert {k: v[1] for k, v in near(docs, scratch, rows).items()} == expected
+
+
 def test_near_dedup_odd_tables(spark, docs, scratch):
     assert near(docs, scratch, []) == {}
     text = "one two three four five six"
