@@ -39,7 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: The toxicity model has no SQL form; tests hold every stage against a brute-force version.
+#: The toxicity model has no SQL form.  A test holds line dedup, near-dedup and decontamination against brute-force
+#: versions, toxicity and mixing against their operators, and run() against the stages.
 ORACLE_SQL = None
 
 
