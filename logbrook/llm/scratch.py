@@ -64,3 +64,8 @@ def pieces(df: DataFrame, piece: int = 16 << 20, least: int = 8) -> int:
     """How many partitions of about `piece` bytes df makes; grows with the input."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(wanted, 200_000), min(200_000, math.ceil(plan_bytes(df) / piece)))
+
+
+def dealt(df: DataFrame, rows: int) -> int:
+    """Partitions of about `rows` rows of a written table (its count is in the files' footers), never below the session's number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))

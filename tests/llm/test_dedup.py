@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from brute import components, mutate, prose, rng
+from brute import components, mutate, prose, rng, words
 from pyspark.sql import functions as F
 
 from logbrook.llm import components as C
@@ -161,3 +161,67 @@ def test_passages_of_many_copies_stay_linear(docs, scratch):
     rows = [(i, prose(g, 20, 10**6) + " " + shared) for i in range(60)]
     found = substring_dedup.passages(docs(rows), scratch).collect()
     assert sorted((r.id, r.anchor) for r in found) == [(i, 0) for i in range(1, 60)]
+
+
+def covered(found):
+    out = {}
+    for r in found:
+        out.setdefault(r.id, set()).update(range(r.start, r.end))
+    return out
+
+
+def brute_covered(rows, least=50):
+    """Words of each document in an equal run of at least `least` words with an earlier document, all pairs."""
+    lists, out = sorted((i, words(t)) for i, t in rows), {}
+    for n, (i, mine) in enumerate(lists):
+        for _, other in lists[:n]:
+            for shift in range(-len(other) + 1, len(mine)):
+                run = 0
+                for p in range(max(0, shift), min(len(mine), len(other) + shift) + 1):
+                    if p < min(len(mine), len(other) + shift) and mine[p] == other[p - shift]:
+                        run += 1
+                        continue
+                    if run >= least:
+                        out.setdefault(i, set()).update(range(p - run, p))
+                    run = 0
+    return out
+
+
+def test_passages_equal_brute_force_with_fragments_in_other_documents(docs, scratch):
+    g = rng(17)
+    fresh = lambda n: prose(g, n, 10**6)
+    shared = [fresh(n) for n in (200, 90, 60, 51, 130)]
+    pieces = [(p.split(), k) for p in shared for k in (20, 23)]
+    rows = []
+    for words_, k in pieces:  # fragments, before and between the documents that hold the whole
+        rows += [(len(rows) + 100 * (len(rows) % 2), fresh(15) + " " + " ".join(words_[at : at + k]) + " " + fresh(15)) for at in range(0, len(words_), k)]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    for n, p in enumerate(shared):
+        rows += [(10 + 1000 * n + 1000, fresh(20) + " " + p + " " + fresh(20)), (10 + 1000 * n + 1500, fresh(30) + " " + p + " " + fresh(5) + " " + p)]
+    rows += [(9000, shared[0] + " " + shared[1]), (9001, shared[2] + " " + shared[0][:300] + " " + shared[3])]
+    found = substring_dedup.passages(docs(rows), scratch).collect()
+    assert covered(found) == brute_covered(rows)
+
+
+def test_a_passage_is_whole_where_earlier_documents_hold_pieces(docs, scratch):
+    g = rng(18)
+    shared = prose(g, 200, 10**6).split()
+    rows = [(k, prose(g, 20, 10**6) + " " + " ".join(shared[15 * k : 15 * k + 20])) for k in range(13)]
+    rows += [(100, prose(g, 20, 10**6) + " " + " ".join(shared)), (101, prose(g, 20, 10**6) + " " + " ".join(shared))]
+    found = [tuple(r) for r in substring_dedup.passages(docs(rows), scratch).collect()]
+    assert found == [(101, 100, 20, 220, 20, 220, 200)]
+
+
+def test_passages_over_many_partitions_and_long_and_repeated_texts(spark, docs, scratch, monkeypatch):
+    g = rng(19)
+    monkeypatch.setattr(substring_dedup, "TASK_ROWS", 40)
+    monkeypatch.setattr(substring_dedup, "SHARED", 5)
+    shared = prose(g, 120, 10**6)
+    rows = [(i, prose(g, 25, 10**6) + " " + shared) for i in range(80)] + [(200, "again " * 3000), (201, "x " + "again " * 2500), (202, prose(g, 3000, 10**6) + " " + shared)]
+    found = substring_dedup.passages(docs([*rows, rows[3]]), scratch).collect()
+    assert covered(found) == brute_covered([r for r in rows if r[0] < 200]) | {201: set(range(1, 2501)), 202: set(range(3000, 3120))}
+
+
+def test_common_scans_equal_plain_ones():
+    rows = [(0, 0, 5, 1, 9), (0, 1, 5, 1, 9), (0, 2, 7, 2, 4), (0, 3, 7, 3, 1), (1, 0, 7, 4, 8), (1, 1, 7, 4, 8), (1, 2, 7, 4, 8), (1, 3, 7, 4, 8), (2, 0, 7, 6, 2), (2, 1, 7, 6, 2), (2, 2, 8, 1, 1), (2, 3, 8, 1, 1)]
+    assert sorted(substring_dedup.across(rows)) == [(4, 2, 8, 4), (4, 3, 8, 1), (6, 2, 2, 4), (6, 4, 2, 8)]
