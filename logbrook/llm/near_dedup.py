@@ -7,25 +7,33 @@ node, so all its members agree) and its members branch by their minwise value th
 go on together often enough that a pair at the threshold meets in a tree with a fair chance; TREES
 independent trees bring the chance of missing it to well under one in a thousand.
 
-A node of at most LEAF members is compared exhaustively.  A larger node is split by how similar its
-members are to its pivot: those unlike it branch on, those very like it can't be told apart by
-branching and are compared with the pivot and within chunks of LEAF members, and the ones in between
-do both.  After a first round of links, members that share a component need no further comparing;
-leaves with several components are compared.  What is then left of a large node, the members outside
-its main component, is compared with all of the node, however many they are: blocks of signatures
-first, then the sets of what is alike.  So pairs that share a large node are never missed by how its
-members fell into chunks.
-
-Comparisons are made in two steps: signatures drop members that resemble nobody in their node, then
-links are confirmed on full shingle sets, which are only computed for the members that are left.  A
-node yields the links that join its components (at most one fewer than it has members), never all
-pairs.  Links become components by hooking and pointer jumping.  Only narrow rows, and the texts of
-documents that have a likely partner, are shuffled; nothing is collected.
+Members carry a label: what they are known to be joined to.  A node whose members share one label is
+dropped, for there is nothing to find in it.  The first tree begins with every class as its own label;
+its links give components, which are the labels of the other trees.  So a group of near copies costs
+rows in one tree, and is a handful of labels in the others.
+
+A node of at most LEAF members is compared exhaustively.  A larger node in which at most BLOCK members
+are outside of its main label is put aside: these outsiders are compared with all of the node, in
+blocks.  Any other large node is split by how similar its members are to its pivot: those like it form a
+star and are compared with the pivot and within chunks of LEAF members, those unlike it branch on; in
+the first tree at STAR, in the others members between STAR and CORE do both.  When all trees are done,
+what was put aside, the stars and what is still large at the last level are compared once more: the
+members outside the main label (of all links so far) with all of the node, however many they are:
+blocks of signatures first, then the sets of what is alike.  So pairs that share a large node are never
+missed by how its members fell into chunks.
+
+Comparisons are made in two steps: signatures drop members that resemble nobody of another label in
+their node, then links are confirmed on full shingle sets (64 bits a shingle), which are only computed
+for the members that are left.  A node yields the links that join its components (at most one fewer
+than it has members), never all pairs.  Links become components by hooking and pointer jumping.  Only
+narrow rows, and the sets of documents that have a likely partner, are shuffled; nothing is collected.
 
 Defined cases: A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than k words is
 one shingle; null and empty texts have no shingles, are linked with nothing and are their own
 component; a null id is its own (null) component; rows that share an id are one document whose
-links join; repeated rows share a component; an empty table gives no rows; other columns are ignored.
+links join; repeated rows share a component; a very long text is one row and its set is held whole by
+one task; the pivot of a node is the member with the smallest hash, so reruns agree; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
+from .scratch import dealt
 
 SHINGLE, THRESHOLD = 5, 0.75
 COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
@@ -44,8 +53,10 @@ COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
 LIKELY = 0.5
 #: In a large node, members this like its pivot form a star, and those below CORE branch on.
 STAR, CORE = 0.6, 0.9
-#: Signatures that are compared with as many others at a time.
+#: Signatures that are compared with as many others at a time, and outsiders of a node that is put aside.
 BLOCK = 1024
+#: Rows with a signature, and rows with a set, of a task.
+SIGNATURES, SETS = 100_000, 20_000
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -54,16 +65,12 @@ _A = (_RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | 1)[:, None]
 _B = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)[:, None]
 
 
-def compact(shingles: np.ndarray) -> np.ndarray:
-    """Sets travel as 32 bits a shingle, sorted; a pair of sets has a false common one rarely, and hardly ever at the threshold."""
-    return np.sort((shingles >> K.U64(32)).astype(np.uint32))
-
-
-def signature(low: np.ndarray) -> np.ndarray:
-    """From a compact set."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Minwise values of a set, over the upper halves of its shingles."""
+    high = (shingles >> K.U64(32)).astype(np.uint32)
     best = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        x = _A * (low[at : at + 2048] ^ _B)
+    for at in range(0, len(high), 2048):
+        x = _A * (high[at : at + 2048] ^ _B)
         x ^= x >> np.uint32(15)
         best = np.minimum(best, (x * np.uint32(0x2C1B3C6D)).min(axis=1))
     return best
@@ -83,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 full = [len(s) > 0 for s in sets]
                 d = [class_of(s) if f else (None, None) for s, f in zip(sets, full)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([signature(compact(s)).tobytes() if f else None for s, f in zip(sets, full)], pa.binary())],
+                    [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([signature(s).tobytes() if f else None for s, f in zip(sets, full)], pa.binary())],
                     names=["id", "n_shingles", "d1", "d2", "sig"],
                 )
 
@@ -116,87 +123,92 @@ def branch(nodes: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.nd
     return np.concatenate(members), np.concatenate(children).view(np.int64)
 
 
-def _plant(threshold: float):
+def _plant(threshold: float, trees: range):
     def run(batches):
         for batch in batches:
-            sigs, ids = _matrix(batch.column("sig")), batch.column("id").to_numpy()
-            for tree in range(TREES):
-                roots = np.full(len(ids), tree + 1, np.int64)
-                who, child = branch(roots, sigs, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(np.full(len(who), tree, np.int64)), pa.array(ids[who])], names=["node", "tree", "id"])
+            sigs, ids, labels = _matrix(batch.column("sig")), batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            for tree in trees:
+                who, child = branch(np.full(len(ids), tree + 1, np.int64), sigs, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(ids[who]), pa.array(labels[who])], names=["node", "id", "label"])
 
     return run
 
 
-def _grow(threshold: float):
+def _grow(threshold: float, core: float):
     """Members of large nodes: star members (chunked) and the next level's members."""
 
     def run(batches):
         for batch in batches:
-            node, tree, ids, chunks = (batch.column(c).to_numpy() for c in ("node", "tree", "id", "chunks"))
+            node, ids, labels, chunks = (batch.column(c).to_numpy() for c in ("node", "id", "label", "chunks"))
             sigs, pivots = _matrix(batch.column("sig")), _matrix(batch.column("pivot_sig"))
             like = (sigs == pivots).mean(axis=1)
             star = np.flatnonzero(like >= STAR)
-            on = np.flatnonzero(like < CORE)
+            on = np.flatnonzero(like < core)
             who, child = branch(node[on], sigs[on], threshold)
             who = on[who]
             chunk = (K.mix(ids[star].view(K.U64) ^ node[star].view(K.U64)) % chunks[star].astype(K.U64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([node[star], child])), pa.array(np.concatenate([tree[star], tree[who]])), pa.array(np.concatenate([ids[star], ids[who]])), pa.array(np.concatenate([chunk, np.full(len(who), -1)]))],
-                names=["node", "tree", "id", "chunk"],
+                [pa.array(np.concatenate([node[star], child])), pa.array(np.concatenate([ids[star], ids[who]])), pa.array(np.concatenate([labels[star], labels[who]])), pa.array(np.concatenate([chunk, np.full(len(who), -1)]))],
+                names=["node", "id", "label", "chunk"],
             )
 
     return run
 
 
-def trees(classes: DataFrame, scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Leaves (node, tree, id) of 2 to LEAF members, and stars (node, tree, id, chunk) with their pivots in each chunk."""
-    level = classes.mapInArrow(_plant(threshold), "node long, tree long, id long")
-    leaves, stars = [], []
+_NODE = "node long, id long, label long"
+
+
+def grow(classes: DataFrame, which: range, core: float, scratch, name: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trees over classes (id, sig, label): leaves (node, id, label) of 2 to LEAF members; stars (the same and chunk)
+    with their pivots in each chunk; and what is left to the comparison of outsiders (node, id).  Nodes of one label are gone.
+    """
+    level = classes.mapInArrow(_plant(threshold, which), _NODE)
+    leaves, stars, aside = [], [], []
     sigs = classes.select("id", "sig")
-    for depth in range(DEPTH):
-        level = scratch.write(level, f"level-{depth}")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id")).alias("p")).where("n > 1")
-        sizes = scratch.write(sizes.select("node", "n", F.col("p.id").alias("pivot")), f"sizes-{depth}")
+    for depth in range(DEPTH + 1):
+        level = scratch.write(level, f"{name}-level-{depth}")
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "label")).alias("p")).where("lo < hi")
+        sizes = scratch.write(sizes.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label")), f"{name}-sizes-{depth}")
         leaves.append(level.join(sizes.where(F.col("n") <= LEAF).select("node"), "node"))
         large = sizes.where(F.col("n") > LEAF)
         if not large.take(1):
             break
-        pivots = large.join(sigs.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot").withColumn("chunks", F.ceil(F.col("n") / (LEAF // 2)).cast("long"))
-        members = level.join(pivots, "node").join(sigs, "id").select("node", "tree", "id", "chunks", "sig", "pivot_sig")
-        grown = scratch.write(members.mapInArrow(_grow(threshold), "node long, tree long, id long, chunk long"), f"grown-{depth}")
+        members = scratch.write(level.join(large, "node"), f"{name}-members-{depth}")
+        if depth == DEPTH:  # what no depth tells apart
+            aside.append(members.select("node", "id"))
+            break
+        main = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max("k").alias("k"))
+        split = scratch.write(large.join(main, "node").select("node", (F.col("n") - F.col("k") > BLOCK).alias("many")), f"{name}-split-{depth}")
+        aside.append(members.join(split.where("not many"), "node", "left_semi").select("node", "id"))
+        chunks = F.ceil(F.col("n") / (LEAF // 2)).cast("long").alias("chunks")
+        many = members.join(split.where("many"), "node", "left_semi").select("node", "id", "label", "pivot", chunks)
+        many = many.join(sigs.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot").join(sigs, "id")
+        grown = scratch.write(many.select("node", "id", "label", "chunks", "sig", "pivot_sig").mapInArrow(_grow(threshold, core), f"{_NODE}, chunk long"), f"{name}-grown-{depth}")
         star = grown.where("chunk >= 0")
-        used = star.select("node", "tree", "chunk").distinct().join(large.select("node", F.col("pivot").alias("id")), "node")
-        stars.append(star.select("node", "tree", "id", "chunk").unionByName(used.select("node", "tree", "id", "chunk")))
-        level = grown.where("chunk < 0").select("node", "tree", "id")
-    else:  # what no depth tells apart is compared like a star
-        rest = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        chunk = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("n") / (LEAF // 2)).cast("long"))
-        star = level.join(rest, "node").select("node", "tree", "id", chunk.alias("chunk"))
-        used = star.select("node", "tree", "chunk").distinct().join(rest.select("node", F.col("pivot").alias("id")), "node")
-        stars.append(star.unionByName(used.select("node", "tree", "id", "chunk")))
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    leaf = scratch.write(leaf, "leaves")
-    if stars:
-        star = stars[0]
-        for x in stars[1:]:
-            star = star.unionByName(x)
-        star = scratch.write(star.distinct(), "stars")
-    else:
-        star = leaf.where("false").withColumn("chunk", F.lit(0).cast("long"))
-    scratch.drop(*[f"{x}-{d}" for d in range(DEPTH) for x in ("level", "sizes", "grown")])
-    return leaf, star
+        used = star.select("node", "chunk").distinct().join(large.select("node", F.col("pivot").alias("id"), F.col("pivot_label").alias("label")), "node")
+        stars.append(star.unionByName(used))
+        level = grown.where("chunk < 0").select("node", "id", "label")
+    leaf = scratch.write(_union(leaves), f"{name}-leaves")
+    star = scratch.write(_union(stars or [leaf.where("false").withColumn("chunk", F.lit(0).cast("long"))]).distinct(), f"{name}-stars")
+    left = scratch.write(_union(aside or [leaf.where("false").select("node", "id")]), f"{name}-aside")
+    scratch.drop(*[f"{name}-{x}-{d}" for d in range(DEPTH + 1) for x in ("level", "sizes", "members", "split", "grown")])
+    return leaf, star, left
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 # ---- comparing -----------------------------------------------------------------------------------
 
 
 def _resembling(batches):
-    """Members of leaves whose signature is like another member's."""
+    """Members of leaves whose signature is like that of a member with another label."""
     for table in K.groups(batches, "node"):
-        node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
+        node, ids, labels = (table.column(c).to_numpy() for c in ("node", "id", "label"))
         sigs = _matrix(table.column("sig"))
         keep = np.zeros(len(node), bool)
         at = K.edges(node)
@@ -206,11 +218,10 @@ def _resembling(batches):
                     keep[x:y] = True
                 continue
             for lo in range(x, y):
-                like = (sigs[x:y] == sigs[lo]).mean(axis=1) >= LIKELY
-                like[lo - x] = False
+                like = ((sigs[x:y] == sigs[lo]).mean(axis=1) >= LIKELY) & (labels[x:y] != labels[lo])
                 if like.any():
                     keep[lo] = True
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(table.column("tree").to_numpy()[keep]), pa.array(ids[keep])], names=["node", "tree", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(ids[keep]), pa.array(labels[keep])], names=["node", "id", "label"])
 
 
 def shares(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -231,13 +242,14 @@ def _join(threshold: float):
     def run(batches):
         for table in K.groups(batches, "grp"):
             group, ids, labels = (table.column(c).to_numpy() for c in ("grp", "id", "label"))
-            sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x, K.U64) for x in table.column("shingles").to_pylist()]
+            sigs = _matrix(table.column("sig"))
             out: list[tuple[int, int]] = []
             at = K.edges(group)
             for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
                 _, comp = np.unique(labels[x:y], return_inverse=True)
                 comp = comp.copy()
-                sketch = np.stack([signature(s) for s in sets[x:y]])
+                sketch = sigs[x:y]
                 for i in range(y - x):
                     if (comp == comp[0]).all():
                         break
@@ -256,15 +268,29 @@ def _sets(shingle: int):
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column("text")):
                 sets = K.shingle_sets(K.tokenize(data, offsets, K.NOT_SPACE), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([compact(s).tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
     return run
 
 
-def _links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """groups: grp, id, label."""
-    rows = groups.join(sets, "id").repartition("grp").sortWithinPartitions("grp", "id")
-    return rows.select("grp", "id", "label", "shingles").mapInArrow(_join(threshold), "a long, b long")
+def _wanted(docs: DataFrame, classes: DataFrame, ids: DataFrame, scratch, name: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, sig, shingles) of the given ids; their texts are read again rather than kept."""
+    ids = scratch.write(ids.distinct(), f"wanted-{name}")
+    few = ids.count() <= BROADCAST_IDS
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    sets = scratch.write(rows.mapInArrow(_sets(shingle), "id long, shingles binary"), f"sets-{name}")
+    scratch.drop(f"wanted-{name}")
+    return sets.join(classes.select("id", "sig"), "id")
+
+
+def _links(groups: DataFrame, sets: DataFrame, threshold: float, scratch, name: str) -> DataFrame:
+    """Links of groups (grp, id, label)."""
+    groups = scratch.write(groups, f"groups-{name}")
+    rows = groups.join(sets, "id").repartition(dealt(groups, SETS), "grp").sortWithinPartitions("grp", "id")
+    out = scratch.write(rows.select("grp", "id", "label", "sig", "shingles").mapInArrow(_join(threshold), "a long, b long"), f"links-{name}")
+    scratch.drop(f"groups-{name}", f"sets-{name}")
+    return out
 
 
 def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,31 +301,29 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     same = (F.col("id") == F.col("rep")) & (F.col("x1") == F.col("d1")) & (F.col("x2") == F.col("d2"))
     reps = full.join(named.withColumnsRenamed({"d1": "x1", "d2": "x2"}), same, "left_semi")
     classes = scratch.write(reps.select("id", "sig"), "classes")
-    leaves, stars = trees(classes, scratch, threshold)
-    rows = leaves.join(classes, "id").repartition("node").sortWithinPartitions("node", "id")
-    likely = scratch.write(rows.select("node", "tree", "id", "sig").mapInArrow(_resembling, "node long, tree long, id long"), "likely")
-    grouped = likely.select(F.col("node").alias("grp"), "tree", "id", F.lit(False).alias("star"))
-    grouped = grouped.unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "tree", "id", F.lit(True).alias("star")))
-    wanted = scratch.write(grouped.select("id").distinct(), "wanted")
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    few = wanted.count() <= BROADCAST_IDS
-    picked = picked.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = scratch.write(picked.mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
-
-    begin = grouped.where("tree = 0 or star")
-    first = scratch.write(_links(begin.select("grp", "id", F.col("id").alias("label")), sets, threshold), "links-1")
-    known = components(first, scratch, "round-1")
-    rest = grouped.where("tree > 0 and not star").join(known, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
-    rest = scratch.write(rest, "labelled")
-    open_ = rest.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
-    second = scratch.write(_links(rest.join(open_, "grp", "left_semi"), sets, threshold), "links-2")
-    links = first.unionByName(second)
-    known = components(links, scratch, "round-2")
-    third = _outsiders(stars, known, classes, sets, threshold, scratch)
-    if third is not None:
-        known = components(links.unionByName(third), scratch, "round-3")
+
+    links, known, left = None, None, []
+    for name, which, core in (("one", range(1), STAR), ("rest", range(1, TREES), CORE)):
+        labelled = classes.withColumn("label", F.col("id")) if known is None else classes.join(known, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
+        leaves, stars, aside = grow(labelled, which, core, scratch, name, threshold)
+        rows = leaves.join(classes, "id").repartition(dealt(leaves, SIGNATURES), "node").sortWithinPartitions("node", "id")
+        likely = scratch.write(rows.select("node", "id", "label", "sig").mapInArrow(_resembling, _NODE), f"{name}-likely")
+        groups = likely.withColumnRenamed("node", "grp").unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"))
+        sets = _wanted(docs, classes, groups.select("id"), scratch, name, id_col, text_col, shingle)
+        found = _links(groups, sets, threshold, scratch, name)
+        links = found if links is None else links.unionByName(found)
+        if known is None or found.take(1):
+            known = components(links, scratch, f"round-{name}")
+        left += [aside, stars.select("node", "id")]
+        scratch.drop(f"{name}-leaves", f"{name}-likely")
+    alike = _outsiders(_union(left).distinct(), known, classes, scratch)
+    if alike is not None:
+        sets = _wanted(docs, classes, alike.select("id"), scratch, "last", id_col, text_col, shingle)
+        found = _links(alike, sets, threshold, scratch, "last")
+        if found.take(1):
+            known = components(links.unionByName(found), scratch, "round-last")
     found = scratch.write(named.join(known, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
-    scratch.drop("classes", "leaves", "stars", "likely", "wanted", "sets", "labelled", "links-1", "links-2", "links-3", "named")
+    scratch.drop("classes", "named", "one-stars", "one-aside", "rest-stars", "rest-aside", "links-one", "links-rest", "links-last")
     out = prints.select("id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
     return out.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
 
@@ -328,13 +352,13 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[kept]), pa.array(labels[kept])], names=["grp", "id", "label"])
 
 
-def _outsiders(stars: DataFrame, known: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, scratch) -> DataFrame | None:
-    """Members of large nodes that the main component doesn't hold, against all members of the node.
+def _outsiders(crowds: DataFrame, known: DataFrame, classes: DataFrame, scratch) -> DataFrame | None:
+    """Of large nodes (node, id): groups (grp, id, label) of members that the main component doesn't hold and members alike.
 
     Of two members with different labels at least one is outside, so all pairs that may add a link are met.
     """
-    labelled = stars.select("node", "id").distinct().join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-    labelled = scratch.write(labelled, "star-labels")
+    labelled = crowds.join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.write(labelled, "crowd-labels")
     counts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).where("labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
@@ -347,9 +371,8 @@ def _outsiders(stars: DataFrame, known: DataFrame, classes: DataFrame, sets: Dat
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     outside = mixed.where("label <> main").select("node", "id", "label", one.alias("i"), each("c").alias("j"), F.lit(False).alias("inside"))
     members = mixed.select("node", "id", "label", each("o").alias("i"), two.alias("j"), F.lit(True).alias("inside"))
-    both = outside.unionByName(members).select(F.xxhash64("node", "i", "j").alias("grp"), "id", "label", "inside")
-    rows = both.join(classes.select("id", "sig"), "id").repartition("grp").sortWithinPartitions("grp", "id")
+    both = scratch.write(outside.unionByName(members).select(F.xxhash64("node", "i", "j").alias("grp"), "id", "label", "inside"), "blocks")
+    rows = both.join(classes.select("id", "sig"), "id").repartition(dealt(both, SIGNATURES), "grp").sortWithinPartitions("grp", "id")
     alike = scratch.write(rows.select("grp", "id", "label", "inside", "sig").mapInArrow(_alike, "grp long, id long, label long"), "alike")
-    found = scratch.write(_links(alike, sets, threshold), "links-3")
-    scratch.drop("star-labels", "mixed", "alike")
-    return found
+    scratch.drop("crowd-labels", "mixed", "blocks")
+    return alike
