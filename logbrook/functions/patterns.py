@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """`anchors`: literals of which every match holds at least one; they let rows skip a pass cheaply."""
+    """`anchors`: literals of which every match holds at least one; they let rows skip a pass cheaply.
+
+    `hint`: an expression, cheap to search for, that each match without an anchor holds.
+    """
 
     category: str
     name: str
     regex: str
     confidence: str = "high"
     anchors: tuple[str, ...] = ()
+    hint: str = ""
 
     @property
     def java(self) -> str:
@@ -46,7 +50,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("home_path", "tilde_home_path", r"""(?<![A-Za-z])~/(?:[^\s"'\]\[:;,]*)""", "medium", ("~/",)),
     Pattern("home_path", "windows_home_path", r"""[A-Za-z]:\\Users\\[A-Za-z0-9_.-]+(?:\\[^\s"'\]\[:;,]*)?""", "medium", (":\\Users\\",)),
     Pattern("hostname", "local_hostname", r"\b(?:localhost|hostname|DESKTOP-[A-Z0-9]+|WIN-[A-Z0-9]+)\b", "medium", ("localhost", "hostname", "DESKTOP-", "WIN-")),
-    Pattern("ipv4", "ipv4_address", r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)", "medium", (".",)),
+    Pattern("ipv4", "ipv4_address", r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)", "medium", (), r"(?U)\d\.\d{1,3}\.\d"),
     Pattern(
         "ipv6",
         "ipv6_address",
@@ -64,11 +68,13 @@ PATTERNS: tuple[Pattern, ...] = (
         r"|::(?:ffff(?::0{1,4})?)?(?:(?:\d{1,3}\.){3}\d{1,3})"
         r"|(?:[A-Fa-f0-9]{1,4}:){1,4}:(?:(?:\d{1,3}\.){3}\d{1,3})(?![A-Fa-f0-9:])",
         "medium",
-        (":",),
+        ("::", "fe80:"),
+        r":[A-Fa-f0-9]{1,4}:",
     ),
 )
 
-#: What a finished bundle is scanned for once more; the first that hits is reported.
+# Fixed values, too: what a finished bundle is scanned for once more; the first that hits is reported.  One differs
+# from the format on purpose: the key header is that of private_key_block, so that it also hits "RSA PRIVATE KEY".
 RESIDUAL: tuple[str, ...] = (
     r"sk-(?:proj-|svc-|)[A-Za-z0-9]{20,}",
     r"sk-ant-(?:api|admin|staff)[0-9A-Za-z_-]{40,}",
@@ -110,7 +116,3 @@ class Registry:
             if len(fields) >= 2:
                 out = out.with_custom(fields[0], fields[1])
         return out
-
-
-def relabelled(pattern: Pattern, category: str) -> Pattern:
-    return replace(pattern, category=category)

@@ -4,6 +4,9 @@ All of it is native.  A pass splits the text at its matches and joins the gaps w
 pass whose anchors are absent costs a substring search.  Placeholders are keyed hashes of the
 matched literal, so the same literal gets the same placeholder in every file and on every executor
 without a dictionary, and a new salt per capture ends the stability.
+
+Places are found by one running sum over gaps and matches, so a text with many matches is walked once.
+Where nothing but the masked text is asked for, a pass is one replacement.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ def masked(category: str, literal: Column, salt: str = "") -> Column:
 
 
 def may_match(text: Column, pattern: Pattern) -> Column:
-    out = F.lit(not pattern.anchors)
+    out = F.lit(not (pattern.anchors or pattern.hint))
     for anchor in pattern.anchors:
         out = out | text.contains(anchor)
-    return out
+    return out | text.rlike(pattern.hint) if pattern.hint else out
 
 
 def find_all(text: Column, pattern: Pattern) -> Column:
@@ -48,32 +51,34 @@ def match_count(text: Column, pattern: Pattern) -> Column:
     return F.when(may_match(text, pattern), F.regexp_count(text, F.lit(pattern.java))).otherwise(0).cast("long")
 
 
-def starts(gaps: Column, found: Column) -> Column:
-    """Offsets of matches from the gaps around them, without a scan per match."""
-    one = F.transform(
-        F.sequence(F.lit(1), F.size(found)),
-        lambda k: F.aggregate(F.slice(gaps, 1, k), F.lit(0).cast("long"), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(found, 1, k - 1), F.lit(0).cast("long"), lambda n, m: n + F.length(m)),
-    )
-    return F.when(F.size(found) > 0, one).otherwise(F.array().cast("array<bigint>"))
+_PLACE = "struct<start:bigint,line:bigint,column:bigint>"
+
 
+def places(gaps: Column, found: Column) -> Column:
+    """start, line (from 1) and column (from 0, in code points) of each match, from the gaps around them in one walk."""
 
-def line_of(text: Column, start: Column) -> Column:
-    """1-based."""
-    return (F.regexp_count(F.substr(text, F.lit(1), start.cast("int")), F.lit("\n")) + 1).cast("long")
+    def piece(x: Column, hit: bool) -> Column:
+        lines = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        return F.struct(F.length(x).alias("n"), lines.alias("lines"), F.length(F.substring_index(x, "\n", -1)).alias("last"), F.lit(hit).alias("hit"))
 
+    def step(at: Column, x: Column) -> Column:
+        here = F.array(F.struct(at["start"].alias("start"), at["line"].alias("line"), at["column"].alias("column")))
+        return F.struct(
+            (at["start"] + x["n"]).alias("start"), (at["line"] + x["lines"]).alias("line"),
+            (F.when(x["lines"] > 0, F.lit(0).cast("long")).otherwise(at["column"]) + x["last"]).alias("column"),
+            F.when(x["hit"], F.concat(at["out"], here)).otherwise(at["out"]).alias("out"),
+        )
 
-def column_of(text: Column, start: Column) -> Column:
-    """0-based, in code points."""
-    return F.length(F.substring_index(F.substr(text, F.lit(1), start.cast("int")), "\n", -1)).cast("long")
+    begin = F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("line"), F.lit(0).cast("long").alias("column"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    pieces = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.array(piece(g, False), piece(m, True))))
+    return F.aggregate(pieces, begin, step, lambda at: at["out"])
 
 
 def positions(df: DataFrame, text: str, pattern: Pattern, *carry: str) -> DataFrame:
     """carry, literal, start, line, column of every match."""
     rows = df.where(may_match(F.col(text), pattern)).select(*carry, F.col(text).alias("_t"), find_all(F.col(text), pattern).alias("_m"), F.split(F.col(text), pattern.java, -1).alias("_g"))
-    rows = rows.where(F.size("_m") > 0).withColumn("_s", starts(F.col("_g"), F.col("_m")))
-    rows = rows.select(*carry, "_t", F.explode(F.arrays_zip(F.col("_m").alias("literal"), F.col("_s").alias("start"))).alias("_x"))
-    at = F.col("_x.start")
-    return rows.select(*carry, F.col("_x.literal").alias("literal"), at.alias("start"), line_of(F.col("_t"), at).alias("line"), column_of(F.col("_t"), at).alias("column"))
+    rows = rows.where(F.size("_m") > 0).select(*carry, F.explode(F.arrays_zip(F.col("_m").alias("literal"), places(F.col("_g"), F.col("_m")).alias("at"))).alias("_x"))
+    return rows.select(*carry, "_x.literal", "_x.at.start", "_x.at.line", "_x.at.column")
 
 
 def _step(df: DataFrame, out: str, pattern: Pattern, number: int, mark: Callable[[Column], Column], changes: str | None) -> DataFrame:
@@ -84,10 +89,10 @@ def _step(df: DataFrame, out: str, pattern: Pattern, number: int, mark: Callable
     if changes:
         high = pattern.confidence == "high" and pattern.category != "custom"
         found = F.transform(
-            F.arrays_zip(F.col("_m").alias("m"), starts(F.col("_g"), F.col("_m")).alias("s")),
+            F.arrays_zip(F.col("_m").alias("m"), places(F.col("_g"), F.col("_m")).alias("s")),
             lambda x: F.struct(
                 F.lit(pattern.category).alias("category"), F.lit(pattern.name).alias("pattern"), F.lit(high).alias("high"), F.lit(number).alias("pass"),
-                mark(x["m"]).alias("placeholder"), x["s"].alias("start"), line_of(text, x["s"]).alias("line"), column_of(text, x["s"]).alias("column"),
+                mark(x["m"]).alias("placeholder"), x["s"]["start"].alias("start"), x["s"]["line"].alias("line"), x["s"]["column"].alias("column"),
             ),
         )
         df = df.withColumn(changes, F.when(hit, F.concat(F.col(changes), found)).otherwise(F.col(changes)))
@@ -104,7 +109,7 @@ def _held(column: Column) -> Column:
 
     Pushing one would put the whole fold into the condition, once per mention and pass.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, column)
+    return F.when(~F.isnan(F.rand(0)), column)  # unlike monotonically_increasing_id, streams take it
 
 
 def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry | None = None, salt: str | None = "", skip=(), changes: str | None = None, mask: bool = False) -> DataFrame:
@@ -118,6 +123,10 @@ def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry |
     if changes:
         df = df.withColumn(changes, F.array().cast(f"array<{CHANGE}>"))
     for number, pattern in enumerate((registry or Registry()).without(skip).patterns):
+        if mask and not changes:
+            mark = f"<REDACTED_{pattern.category}>"
+            df = df.withColumn(out, F.when(may_match(F.col(out), pattern), F.regexp_replace(out, pattern.java, mark)).otherwise(F.col(out)))
+            continue
         df = _step(df, out, pattern, number, _marker(pattern.category, salt, mask), changes)
     df = df.withColumn(out, _held(F.col(out)))
     if changes:
@@ -126,13 +135,6 @@ def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry |
     return df
 
 
-def redact_masked(text: Column, registry: Registry | None = None, skip=()) -> Column:
-    """The text with every match replaced by its category alone, as one expression."""
-    for p in (registry or Registry()).without(skip).patterns:
-        text = F.regexp_replace(text, p.java, f"<REDACTED_{p.category}>")
-    return text
-
-
 def snippet(redacted: Column, mark: Column, context: int = 40, kept: int = 30) -> Column:
     """The placeholder with what stands around it in the fully redacted text."""
     at = F.instr(redacted, mark)

@@ -71,7 +71,7 @@ _INJECTED = [
     "'PASSWORD = abcdefghij0123456789'", "'https://user:pass@git.example.org/x.git'", "'ssh://git@example.org/x.git'", "'someone@example.org'", "'cd /home/alice/project now'", "'from localhost to DESKTOP-ABC1'", "'at 10.0.0.1'",
     "'-----BEGIN RSA PRIVATE KEY-----abc-----END RSA PRIVATE KEY-----'", "'PuTTY-User-Key-File-2: ssh-rsa'", "'C:' || chr(92) || 'Users' || chr(92) || 'bob' || chr(92) || 'x.txt'",
 ]
-_INJECT = "concat(left(text, 40), ' ', CASE doc_id % 25 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_INJECTED)) + " ELSE '' END)"
+_INJECT = "concat(coalesce(text, ''), ' ', CASE doc_id % 25 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_INJECTED)) + " ELSE '' END)"
 
 
 def _documents(spark: SparkSession, sf_dir: str, injected: bool = False) -> DataFrame:
@@ -413,9 +413,11 @@ def path_policy_codes(spark, sf_dir):
     return rows.select("doc_id", policy.path_code(F.col("path"), root="/w").alias("code"), policy.size_code(F.col("size"), 3000).alias("size_code"))
 
 
-@query("SELECT doc_id, doc_id % 4 IN (1, 2) AS is_binary FROM documents")
+# The sniff looks at 8,192 bytes, and a character that is cut in two there makes a text binary.
+@query("""SELECT doc_id, (doc_id % 4 IN (1, 2) AND strlen(text) < 8192) OR (strlen(text) > 8192 AND substr(hex(encode(text)), 16385, 1) IN ('8', '9', 'A', 'B')) AS is_binary
+          FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def binary_sniff(spark, sf_dir):
-    head = F.left("text", F.lit(1000)).cast("binary")
+    head = F.coalesce("text", F.lit("")).cast("binary")
     tail = F.when(F.col("doc_id") % 4 == 1, F.unhex(F.lit("00"))).when(F.col("doc_id") % 4 == 2, F.unhex(F.lit("c328"))).otherwise(F.unhex(F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", policy.is_binary(F.concat(head, tail)).alias("is_binary"))
 
