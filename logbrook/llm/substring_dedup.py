@@ -54,9 +54,12 @@ REACH, FURTHER, OPEN = 64, 8, 20
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words in seeds that a chain needs to be aligned.
 LEAST = 12
-BROADCAST_IDS = 1_000_000
+#: Ranges (16 bytes each) that are broadcast with their ids; more meet the texts by shuffling.
+BROADCAST_RANGES = 500_000
 #: Rows of a task, and chains that may share a key.
 TASK_ROWS, SHARED = 1_000_000, 2_000
+#: Rows with words that are turned into Python objects at a time.
+ROWS = 500
 
 
 # ---- seeds ---------------------------------------------------------------------------------------
@@ -383,7 +386,7 @@ def _aligned(min_words: int, identity: float, reach: int):
 
     def run(batches):
         names = [*_CHAIN_NAMES, "d_words", "a_words"]
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             done, again = [], []
             for i, anchor, d_from, d_to, a_from, a_to, runs, dw, aw in zip(*(batch.column(c).to_pylist() for c in names)):
                 dw, aw = np.frombuffer(dw, np.uint32), np.frombuffer(aw, np.uint32)
@@ -422,7 +425,7 @@ def _words(rows: DataFrame, chains: DataFrame, scratch, name: str) -> DataFrame:
     early = chains.select(F.col("anchor").alias("id"), F.col("a_from").alias("from"), F.col("a_to").alias("to"))
     asked = late.unionByName(early).distinct().groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     asked = scratch.write(asked, f"asked-{name}")
-    few = asked.count() <= BROADCAST_IDS and asked.agg(F.sum(F.size("ranges"))).first()[0] <= 4 * BROADCAST_IDS if asked.take(1) else True
+    few = (asked.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= BROADCAST_RANGES
     texts = rows.join(F.broadcast(asked) if few else asked, "id")
     return scratch.write(texts.select("id", "text", "ranges").mapInArrow(_cut, "id long, from long, to long, words binary").distinct(), f"words-{name}")
 
