@@ -80,7 +80,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "exact-dedup")
-    index = _exact.DigestIndex(spark, buckets=max(16, min(65536, plan_bytes(docs) >> 31)))
+    index = _exact.DigestIndex(spark, f"{scratch.path}/index", buckets=max(16, min(65536, plan_bytes(docs) >> 31)))
     found = _exact.exact_dedup(docs, index, lambda rows: scratch.write(rows, "digests"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

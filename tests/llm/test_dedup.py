@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from brute import components, mutate, prose, rng, words
@@ -80,7 +81,7 @@ def judged(docs, scratch, index, rows, batch="0", name="rows"):
 
 
 def test_exact_dedup_and_later_batches(spark, docs, scratch):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
+    index = exact_dedup.DigestIndex(spark, f"{scratch.path}/index", buckets=4)
     rows = [(1, "a b"), (2, "ab "), (3, "a  b"), (4, None), (5, ""), (6, "\n"), (7, "c"), (8, "ab ")]
     first = judged(docs, scratch, index, rows)
     assert first == {1: (3, 3, False), 2: (3, 3, False), 3: (3, 3, True), 4: (6, 3, False), 5: (6, 3, False), 6: (6, 3, True), 7: (7, 1, True), 8: (8, 1, True)}
@@ -93,12 +94,23 @@ def test_exact_dedup_and_later_batches(spark, docs, scratch):
 def test_exact_dedup_reopened_hot_and_empty(spark, docs, scratch, tmp_path):
     path = f"file://{tmp_path}/index"
     rows = [(i, "same") for i in range(400)] + [(1000 + i, f"t{i // 2}") for i in range(600)]
-    made = judged(docs, scratch, exact_dedup.DigestIndex(spark, "ix_one", path, 4), rows)
+    made = judged(docs, scratch, exact_dedup.DigestIndex(spark, path, "ix_one", 4), rows)
     assert made[399] == (0, 400, False) and made[1001] == (1000, 2, False)
     spark.sql("DROP TABLE ix_one")
-    again = exact_dedup.DigestIndex(spark, "ix_two", path, 4)
+    again = exact_dedup.DigestIndex(spark, path, "ix_two", 4)
     assert judged(docs, scratch, again, [(7777, "sa me")], "2") == {7777: (0, 400, False)}
-    assert judged(docs, scratch, exact_dedup.DigestIndex(spark, buckets=2), [], "e") == {}
+    assert judged(docs, scratch, exact_dedup.DigestIndex(spark, f"file://{tmp_path}/none", buckets=2), [], "e") == {}
+
+
+def test_exact_dedup_meets_the_index_in_an_anti_join(spark, docs, scratch):
+    index = exact_dedup.DigestIndex(spark, f"{scratch.path}/plan", buckets=4)
+    rows = [(-(1 << 63), "ab"), (None, "a b"), (None, "a  b"), (3, "a b"), (4, "x " * 30000), (5, "x" * 30000), (-(1 << 63), "a\tb")]
+    plan = index.new(exact_dedup.digests(docs(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Python" not in plan and "Arrow" not in plan
+    found = exact_dedup.exact_dedup(docs(rows), index, lambda x: scratch.write(x, "plan-rows")).collect()
+    assert Counter((r.id, r.keep_id, r.copies, r.kept) for r in found) == Counter([(-(1 << 63), None, 5, False)] * 2 + [(None, None, 5, False)] * 2 + [(3, None, 5, False), (4, 4, 2, True), (5, 4, 2, False)])
+    longest = exact_dedup.exact_dedup(docs([(9, "q r"), (-(1 << 63), "q r"), (None, "q r")]), index, lambda x: scratch.write(x, "plan-more"), "1").collect()
+    assert {(r.id, r.keep_id, r.kept) for r in longest} == {(9, -(1 << 63), False), (-(1 << 63), -(1 << 63), True), (None, -(1 << 63), False)}
 
 
 def brute_lines(rows, min_sites, most_cut):

@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from brute import alnum, fold, prose, rng, words
 
+from pyspark.sql import functions as F
+
 from logbrook.llm import decontaminate, lm_score, mixing, toxicity, url_filter, warc
 
 DATA = "/root/testdata/sf0.001"
@@ -114,6 +116,65 @@ def test_water_level_without_the_driver(spark, monkeypatch):
     assert math.isclose(mixing.water_level(table, 120.0), expected) and mixing.water_level(table, 1e6) == float("inf")
 
 
+def plain_mix(rows, odds, share=1.5, most=2.0):
+    """copies by (id, source, size) of a sampler that sorts every source; rows: (id, source, size)."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, share * sum(sizes.values()), {s for s in sizes if sizes[s]}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > most * sizes[s]}
+        for s in over or open_:
+            target[s] = most * sizes[s] if over else level * weight[s]
+            left -= target[s]
+        open_ = open_ - over if over else set()
+    out = []
+    for s in order:
+        own = [(i, n) for i, t, n in rows if t == s]
+        low, high = 0.0, 1e9
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(most, mid * n) for _, n in own) < target.get(s, 0) else (low, mid)
+        share_ = {(i, n): min(most, high * n) if n and target.get(s) else 0.0 for i, n in own}
+        whole = {k: int(c + 1e-9) for k, c in share_.items()}
+        chance = {k: c - whole[k] for k, c in share_.items()}
+        missing = target.get(s, 0) - sum(whole[i, n] * n for i, n in own)
+        ranked = sorted((odds[i] * (1 - chance[i, n]) / chance[i, n], i, n) for i, n in own if chance[i, n] > 1e-9 and n)
+        taken, last = 0, -1
+        for k, (_, _, n) in enumerate(ranked):
+            if taken + n / 2 <= missing:
+                last = k
+            taken += n
+        more = {(i, n) for _, i, n in ranked[: last + 1]}
+        out += [(i, s, n, whole[i, n] + ((i, n) in more)) for i, n in own]
+    return target, out
+
+
+def test_mixing_equals_a_plain_sampler(spark, docs, scratch):
+    g = rng(23)
+    rows = [(i, prose(g, g.choice([1, 5, 20, 60, 400]), 50), g.choice(["a", "b", "c", "d", None, "a", "a"])) for i in range(700)]
+    rows += [(5000, prose(g, 20000, 50), "b"), (5001, None, "c"), (5002, "", "empty"), (1, rows[1][1], rows[1][2]), (6000, "one two", "tiny"), (-5, prose(g, 7, 50), "é")]
+    sized = [(i, s, len(words(t))) for i, t, s in rows]
+    odds = {r.i: r.o for r in spark.createDataFrame([(i,) for i, _, _ in sized], "i long").distinct().select("i", mixing._odds(F.col("i"), 8).alias("o")).collect()}
+    target, expected = plain_mix(sized, odds)
+    found = mixing.mix(docs(rows), scratch).collect()
+    source = {(i, n): s for i, s, n in sized}
+    assert Counter((r.id, source[r.id, r.size], r.size, r.copies) for r in found) == Counter(expected)
+    for r in found:
+        assert math.isclose(r.target, target.get(source[r.id, r.size], 0.0), rel_tol=1e-9, abs_tol=1e-9)
+    likely = [r.copies for r in found if r.size == 400 and source[r.id, 400] == "a"], [r.copies for r in found if r.size == 5 and source[r.id, 5] == "a"]
+    assert sum(likely[0]) / len(likely[0]) > sum(likely[1]) / len(likely[1])
+
+
+def test_mixed_rows_keep_a_column_named_copy(docs, scratch):
+    df = docs([(i, "a b c", "s") for i in range(8)]).withColumn("copy", F.lit("mine"))
+    out = mixing.mixed_rows(df, scratch)
+    assert out.columns == [*df.columns, "copy_1"] and {r["copy"] for r in out.collect()} == {"mine"}
+
+
 def test_mixing_nothing(docs, scratch):
     assert mixing.mix(docs([]), scratch).count() == 0
 
