@@ -7,13 +7,16 @@ words holds every location of the suffix's window, and going on until the range
 longest verbatim match and where it lies.  Shards are independent, so this is a map over the
 documents with no shuffle.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words; a larger benchmark makes
-more blocks, which pass over the documents one after another within the same stage.
+The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words.  Up to AT_ONCE blocks pass over
+the documents one after another within the same stage; a larger benchmark makes more such passes, and
+what they found is written between them, so that no task holds more than AT_ONCE blocks.
 
 Defined cases: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; null and
 empty texts have no words and are clean; an item of fewer words than the window is one window; items
 without words, or with a null id, are ignored; rows with the same item_id are one item; repeated
-documents are judged alike; an empty benchmark finds nothing; other columns pass through.
+documents are judged alike; an empty benchmark finds nothing; of matches of the same length the first in
+the text, then of the first item is the longest; a very long text is a shard of its own; an empty table
+gives no rows; other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .scratch import Scratch
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-SPANS, ITEMS, WORDS, LONGEST = "__spans", "__items", "__n_words", "__longest"
+#: Blocks that are broadcast at a time.
+AT_ONCE = 4
+WORDS, SPANS, ITEMS, LONGEST = FOUND_AS = ("__n_words", "__spans", "__items", "__longest")
 
 
 class Block:
@@ -260,46 +266,56 @@ _ARROW = [
 ]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, the spans of hit words, the items found and the longest match, under FOUND's names."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text, window, block_words)]
-    shared = shared or [docs.sparkSession.sparkContext.broadcast(Block([], window))]
-    own = docs.columns
-    schema = T.StructType([*docs.schema.fields, *FOUND.fields])
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
+    """docs with n_words, the spans of hit words, the items found and the longest match; and the names of these four."""
+    spark, own = docs.sparkSession, docs.columns
+    names = K.free(own, *FOUND_AS)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, FOUND.fields))])
 
-    def step(held):
+    def step(held, first: bool):
         def run(batches):
             match = matcher(held.value, window)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                before = batch.schema.names[-1] == LONGEST
+                texts = batch.column(own.index(text_col))
                 for a, n_words, spans, items, longest in match(texts):
                     part = batch.slice(a, len(n_words))
-                    if before:
+                    if not first:
                         old = [part.column(len(own) + j).to_pylist() for j in (1, 2, 3)]
                         spans = [merge_spans([(x["start"], x["end"]) for x in o] + s) for o, s in zip(old[0], spans)]
                         items = [sorted({*o, *i}) for o, i in zip(old[1], items)]
                         longest = [max((x for x in (o, m) if x), key=lambda x: x["words"], default=None) for o, m in zip(old[2], longest)]
                     values = [n_words.tolist(), [[{"start": x, "end": y} for x, y in s] for s in spans], [sorted(set(i)) for i in items], longest]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *(pa.array(v, t) for v, t in zip(values, _ARROW))], names=[*own, *FOUND.names])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *(pa.array(v, t) for v, t in zip(values, _ARROW))], names=[*own, *names])
 
         return run
 
-    for held in shared:
-        docs = docs.mapInArrow(step(held), schema)
-    return docs
+    found, shared, scratch, number = docs, [], Scratch(spark, "decontaminate"), 0
+    for block in blocks(benchmark, item_col, item_text, window, block_words):
+        if len(shared) == AT_ONCE:
+            found = scratch.write(found, f"pass-{number}")
+            for held in shared:
+                held.destroy()
+            if number:
+                scratch.drop(f"pass-{number - 1}")
+            shared, number = [], number + 1
+        shared.append(spark.sparkContext.broadcast(block))
+        found = found.mapInArrow(step(shared[-1], found is docs), schema)
+    if found is docs:
+        found = docs.mapInArrow(step(spark.sparkContext.broadcast(Block([], window)), True), schema)
+    return found, names
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items, contaminated, spans, longest."""
-    found = find(docs, benchmark, **how)
-    hit = F.aggregate(SPANS, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found, (n_words, spans, items, longest) = find(docs, benchmark, **how)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        F.col(id_col).alias("id"), F.col(WORDS).alias("n_words"), hit.alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"),
-        F.col(ITEMS).alias("items"), (hit > 0).alias("contaminated"), F.col(SPANS).alias("spans"), F.col(LONGEST).alias("longest"),
+        F.col(f"`{id_col}`").alias("id"), F.col(n_words).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.col(items).alias("items"), (hit > 0).alias("contaminated"), F.col(spans).alias("spans"), F.col(longest).alias("longest"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the contaminated documents, in docs' own columns."""
-    return find(docs, benchmark, **how).where(F.size(SPANS) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, (_, spans, _, _) = find(docs, benchmark, **how)
+    return found.where(F.size(spans) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

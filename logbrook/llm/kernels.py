@@ -134,6 +134,12 @@ def shingle_sets(tokens: Tokens, k: int = 5) -> list[np.ndarray]:
     return out
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with the first number behind it that makes it unlike the columns."""
+    taken = {c.lower() for c in columns}
+    return [next(x for x in (n, *(f"{n}_{k}" for k in range(1, len(taken) + 2))) if x.lower() not in taken) for n in names]
+
+
 def groups(batches, key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by `key`; a table may hold many groups."""
     held: list[pa.RecordBatch] = []

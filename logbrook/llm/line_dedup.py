@@ -6,8 +6,9 @@ that half of the corpus carries costs one sketch per task.  Lines whose estimate
 `min_sites` are boilerplate, those clearly below are not; only those in between are counted exactly,
 on the pairs of these lines alone.  Boilerplate lines are then cut from every document.
 
-A document that would lose more than `most_cut` of its line bytes is not a carrier of boilerplate but
-a copy that is spread over sites as a whole; it is left as it is, for document dedup to judge.
+A document whose lines are all boilerplate is not a carrier of it but a copy that is spread over sites as
+a whole; it is left as it is, for document dedup to judge.  `most_cut`, off unless given, also spares
+documents that would lose more than that part of their line bytes.
 
 The boilerplate lines go to the tasks as a sorted array while there are at most BROADCAST_LINES of
 them (8 bytes each); beyond that the lines of each document meet them in a shuffled semi-join, and
@@ -15,8 +16,11 @@ each document gets back its own.
 
 Defined cases: a line is the bytes between newlines without leading and trailing ``[\\x20\\x09-\\x0D]``;
 blank lines are kept and never counted; null and empty texts have no lines; a null site is a site of
-its own; a line counts once per site however often it is repeated; repeated rows are cut alike; an
-empty table gives no rows; other columns pass through.
+its own; a line counts once per site however often it is repeated; repeated rows are cut alike;
+very long texts are cut like any other, one at a time; an
+empty table gives no rows; other columns pass
+through, whatever they are called: the counts are named `__n_lines` and `__n_cut`, or where there are such
+columns by the next free number (`__n_lines_1`), see COUNTS and kernels.free.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-MIN_SITES, MOST_CUT, LG_K, BAND = 10, 0.5, 12, 0.25
+MIN_SITES, LG_K, BAND = 10, 12, 0.25
+COUNTS = ("__n_lines", "__n_cut")
 BROADCAST_LINES = 4_000_000
 
 
@@ -82,7 +87,7 @@ def boilerplate(docs: DataFrame, scratch, text_col: str = "text", site_col: str
     return out
 
 
-def _cut(text: pa.Array, known, most_cut: float):
+def _cut(text: pa.Array, known, most_cut: float | None):
     """Per slice: first row, cleaned texts, lines, lines cut; known(hashes, rows of each) marks boilerplate."""
     for a, b, data, offsets in K.slices(text):
         lines = Lines(data, offsets)
@@ -91,7 +96,9 @@ def _cut(text: pa.Array, known, most_cut: float):
         n = b - a
         total, lost = np.bincount(lines.docs, size, n), np.bincount(lines.docs[bad], size[bad], n)
         count = np.bincount(lines.docs, minlength=n)
-        cut = (lost > 0) & (lost <= most_cut * total)
+        cut = (lost > 0) & (lost < total)
+        if most_cut is not None:
+            cut &= lost <= most_cut * total
         bad &= cut[lines.docs]
         n_cut = np.bincount(lines.docs[bad], minlength=n)
         texts = [None] * n
@@ -106,7 +113,7 @@ def _cut(text: pa.Array, known, most_cut: float):
         yield a, texts, count, n_cut
 
 
-def _apply(batch: pa.RecordBatch, text_at: int, own: int, known, most_cut: float):
+def _apply(batch: pa.RecordBatch, text_at: int, own: int, known, most_cut: float | None, counts: list[str]):
     text = batch.column(text_at)
     for a, texts, count, n_cut in _cut(text, known, most_cut):
         part = batch.slice(a, len(texts))
@@ -115,14 +122,15 @@ def _apply(batch: pa.RecordBatch, text_at: int, own: int, known, most_cut: float
         columns = list(part.columns[:own])
         if new is not None:
             columns[text_at] = pa.array(new, old.type)
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(n_cut)], names=[*batch.schema.names[:own], "__n_lines", "__n_cut"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(n_cut)], names=[*batch.schema.names[:own], *counts])
 
 
-def remove(docs: DataFrame, lines: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_cut: float = MOST_CUT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """docs without the given lines, with __n_lines and __n_cut."""
+def remove(docs: DataFrame, lines: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_cut: float | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """docs without the given lines, with the counts of COUNTS."""
+    counts = K.free(docs.columns, *COUNTS)
     own = len(docs.columns)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_cut", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     if lines.count() <= broadcast_lines:
         listed = np.sort(lines.select("line").toPandas()["line"].to_numpy(np.int64))
         shared = docs.sparkSession.sparkContext.broadcast(listed)
@@ -136,15 +144,14 @@ def remove(docs: DataFrame, lines: DataFrame, text_col: str = "text", id_col: st
                 return listed[np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)] == hashes
 
             for batch in batches:
-                yield from _apply(batch, at, own, known, most_cut)
+                yield from _apply(batch, at, own, known, most_cut, counts)
 
         return docs.mapInArrow(run, schema)
 
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("a"), F.xxhash64(F.col(text_col)).alias("b"))
-    keyed = docs.select("*", key.alias("__key"))
-    mine = keyed.select(F.col("__key"), F.col(text_col).alias("text")).mapInArrow(_lines_of, "a long, b long, line long")
-    bad = mine.join(lines.select("line"), "line", "left_semi").groupBy("a", "b").agg(F.collect_set("line").alias("__bad"))
-    held = keyed.join(bad, (F.col("__key.a") == F.col("a")) & (F.col("__key.b") == F.col("b")), "left").select(*docs.columns, "__bad")
+    packed = docs.select(F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("a"), F.xxhash64(F.col(text_col)).alias("b")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mine = packed.select("key", F.col(f"row.`{text_col}`").alias("text")).mapInArrow(_lines_of, "a long, b long, line long")
+    bad = mine.join(lines.select("line"), "line", "left_semi").groupBy("a", "b").agg(F.collect_set("line").alias("bad"))
+    held = packed.join(bad, (F.col("key.a") == F.col("a")) & (F.col("key.b") == F.col("b")), "left").select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("bad").alias(K.free(docs.columns, "__bad")[0]))
 
     def run_held(batches):
         for batch in batches:
@@ -158,14 +165,14 @@ def remove(docs: DataFrame, lines: DataFrame, text_col: str = "text", id_col: st
             def known(hashes, of, listed=listed):
                 return np.fromiter(((r, h) in listed for r, h in zip(of.tolist(), hashes.tolist())), bool, len(hashes))
 
-            yield from _apply(batch, at, own, known, most_cut)
+            yield from _apply(batch, at, own, known, most_cut, counts)
 
     return held.mapInArrow(run_held, schema)
 
 
 def _lines_of(batches):
     for batch in batches:
-        key = batch.column("__key")
+        key = batch.column("key")
         a, b = (pa.array(key.field(j)).to_numpy() for j in (0, 1))
         for first, _, data, offsets in K.slices(batch.column("text")):
             lines = Lines(data, offsets)
@@ -173,7 +180,7 @@ def _lines_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), pa.array(lines.hashes)], names=["a", "b", "line"])
 
 
-def line_dedup(docs: DataFrame, scratch, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", min_sites: int = MIN_SITES, most_cut: float = MOST_CUT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """docs with boilerplate lines cut, and __n_lines, __n_cut."""
+def line_dedup(docs: DataFrame, scratch, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", min_sites: int = MIN_SITES, most_cut: float | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """docs with boilerplate lines cut, and the counts of COUNTS."""
     found = boilerplate(docs, scratch, text_col, site_col, min_sites)
     return remove(docs, found, text_col, id_col, most_cut, broadcast_lines)

@@ -106,7 +106,7 @@ ORACLE = {
         m AS (SELECT l.r, p, raw, line, line IN (SELECT line FROM b) AS bad FROM l),
         s AS (SELECT r, count(*) FILTER (line <> '') AS n_lines, sum(strlen(line)) AS total, coalesce(sum(strlen(line)) FILTER (bad), 0) AS lost,
                      count(*) FILTER (bad) AS n_bad FROM m GROUP BY r),
-        k AS (SELECT r, n_lines, lost > 0 AND lost * 2 <= total AS cut, n_bad FROM s),
+        k AS (SELECT r, n_lines, lost > 0 AND lost < total AS cut, n_bad FROM s),
         t AS (SELECT m.r, string_agg(raw, chr(10) ORDER BY p) FILTER (NOT (cut AND bad)) AS body, max(p) AS last_p,
                      max(p) FILTER (NOT (cut AND bad)) AS last_kept FROM m JOIN k USING (r) GROUP BY m.r)
         SELECT doc_id, n_lines, CASE WHEN cut THEN n_bad ELSE 0 END AS n_cut,

@@ -8,10 +8,13 @@ goes to all tasks as a broadcast; scoring is one pass over the texts without a s
 
 Labels, language, source and id never enter a score; the id only decides the fold.
 
+The bound is on rows: a document that stands in more rows than are left of it is left out of training.
+
 Defined cases: null and empty texts have no features and score sigmoid(bias); a document with several
 labels has the highest; null labels don't count; with no training rows all weights are 0 and every
-score is 0.5 minus a hair (`predicted` 0); repeated rows score alike; an empty table gives no rows;
-further columns are ignored.
+score is 0.5 minus a hair (`predicted` 0); repeated rows score alike, and each counts in training; a very
+long text is scored whole, in one task; an empty table gives no rows; further columns pass through, and
+where there is one named `score` the score is `score_1`, or the next free number.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import kernels as K
 
 BITS = 20
 MAX_TRAIN = 24_000
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 3.0, 0.1
-SETTLED = 1e-3  # a row whose probability is this near its label moves nothing
+SCORE = "score"
 REACH = 3  # a pair's words are at most this far apart
 
 
@@ -59,8 +63,6 @@ class Ftrl:
         at = np.append(at, 1 << BITS)
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        if abs(g) < SETTLED:
-            return
         n = self.n[at]
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
         self.z[at] += g - sigma * w
@@ -89,6 +91,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         usable = usable.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     order = F.xxhash64("id", F.lit(7))
     chosen = usable.orderBy(order, "id").limit(max_train)
+    rows = docs.select(F.col(id_col).alias("id")).join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy(order, "id").rowsBetween(W.unboundedPreceding, W.currentRow))  # over at most max_train rows
+    chosen = rows.where(F.col("n") <= max_train).withColumn("upto", upto).where(F.col("upto") <= max_train).select("id", "toxic")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("text", "toxic", order.alias("place"))
 
@@ -120,8 +125,9 @@ def scorer(model: tuple[np.ndarray, np.ndarray]):
     return score
 
 
-def score(docs: DataFrame, model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a double column `name`; other columns pass through."""
+def score(docs: DataFrame, model, text_col: str = "text", name: str = SCORE) -> DataFrame:
+    """docs with a double column `name`, or the next free one; other columns pass through."""
+    name = K.free(docs.columns, name)[0]
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -113,7 +113,7 @@ def test_exact_dedup_meets_the_index_in_an_anti_join(spark, docs, scratch):
     assert {(r.id, r.keep_id, r.kept) for r in longest} == {(9, -(1 << 63), False), (-(1 << 63), -(1 << 63), True), (None, -(1 << 63), False)}
 
 
-def brute_lines(rows, min_sites, most_cut):
+def brute_lines(rows, min_sites, most_cut=None):
     strip = " \t\n\x0b\x0c\r"
     sites = {}
     for _, t, s in rows:
@@ -126,7 +126,7 @@ def brute_lines(rows, min_sites, most_cut):
         lines = (t or "").split("\n")
         size = lambda xs: sum(len(x.strip(strip).encode()) for x in xs)
         cut = [x for x in lines if x.strip(strip) in bad]
-        if cut and size(cut) <= most_cut * size(lines):
+        if cut and size(cut) < size(lines) and (most_cut is None or size(cut) <= most_cut * size(lines)):
             kept = [x for x in lines if x.strip(strip) not in bad]
             tail = "\n" if lines[-1].strip(strip) in bad and kept else ""
             out[i] = "\n".join(kept) + tail
@@ -147,7 +147,20 @@ def test_line_dedup_equals_brute_force(docs, scratch, most):
         rows.append((i, "\n".join([*lines, *([""] if i % 7 == 0 else [])]), None if i % 13 == 0 else f"s{i % 13}"))
     rows += [(500, None, "s1"), (501, "", "s1"), (502, "\n\n", None), (503, "common line 5", "s2"), (504, "é中\r\ncommon line 5\r\nlonger own line that stays here", "s3")]
     found = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(rows), scratch, min_sites=8, broadcast_lines=most).collect()}
-    assert found == brute_lines(rows, 8, 0.5)
+    assert found == brute_lines(rows, 8)
+    spared = line_dedup.line_dedup(docs(rows), scratch, min_sites=8, broadcast_lines=most, most_cut=0.5)
+    assert {r.doc_id: r.text for r in spared.collect()} == brute_lines(rows, 8, 0.5) != found
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_line_dedup_with_clashing_columns_and_long_texts(spark, scratch, most):
+    rows = [(i, f"own {i}\nshared line", f"s{i}", "mine", 7, "k", [1]) for i in range(12)]
+    rows += [(50, "\n".join(f"line {k}" for k in range(60000)) + "\nshared line", "s1", "mine", 7, "k", [1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __n_cut string, __n_lines int, __key string, __bad array<int>")
+    out = line_dedup.line_dedup(df, scratch, broadcast_lines=most)
+    assert out.columns == [*df.columns, "__n_lines_1", "__n_cut_1"]
+    found = {r.doc_id: (r.text, r["__n_cut"], r["__n_cut_1"], r["__bad"]) for r in out.collect()}
+    assert found[3] == ("own 3\n", "mine", 1, [1]) and found[50][2] == 1 and found[50][0].endswith("line 59999\n")
 
 
 def test_line_dedup_keeps_columns_and_empty_tables(docs, scratch):
@@ -237,3 +250,19 @@ def test_passages_over_many_partitions_and_long_and_repeated_texts(spark, docs,
 def test_common_scans_equal_plain_ones():
     rows = [(0, 0, 5, 1, 9), (0, 1, 5, 1, 9), (0, 2, 7, 2, 4), (0, 3, 7, 3, 1), (1, 0, 7, 4, 8), (1, 1, 7, 4, 8), (1, 2, 7, 4, 8), (1, 3, 7, 4, 8), (2, 0, 7, 6, 2), (2, 1, 7, 6, 2), (2, 2, 8, 1, 1), (2, 3, 8, 1, 1)]
     assert sorted(substring_dedup.across(rows)) == [(4, 2, 8, 4), (4, 3, 8, 1), (6, 2, 2, 4), (6, 4, 2, 8)]
+
+
+def test_near_dedup_recall_with_large_groups(docs, scratch):
+    g = rng(29)
+    rows = []
+    for k in range(6):
+        base = prose(g, 150, 10**6)
+        rows += [(1000 * k + i, mutate(g, base, g.choice([0.003, 0.01, 0.02]))) for i in range(90)]
+    rows += [(20000 + i, prose(g, 120, 10**6)) for i in range(40)] + [(30000, prose(g, 30000, 10**6))]
+    rows += [(30001, rows[-1][1] + " more")]
+    expected = components(rows)
+    found = {k: v[1] for k, v in near(docs, scratch, rows).items()}
+    linked = [i for i in expected if expected[i] != i]
+    recall = sum(found[i] == expected[i] for i in linked) / len(linked)
+    print("recall", recall, len(linked))
+    assert recall >= 0.99 and all(found[i] == i for i in expected if expected[i] == i and list(expected.values()).count(i) == 1)

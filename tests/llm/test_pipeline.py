@@ -57,7 +57,7 @@ def test_stages_and_run_equal_brute_force(spark, tmp_path):
 
     before = list(now.elements())
     now = kept(stages["line_dedup"](spark, spark.createDataFrame(before, SCHEMA), at))
-    cut = list(brute_lines([(n, t, s) for n, (_, t, s, _) in enumerate(before)], 10, 0.5).values())
+    cut = list(brute_lines([(n, t, s) for n, (_, t, s, _) in enumerate(before)], 10).values())
     assert now == Counter((i, c, s, n if c == t else len(c)) for (i, t, s, n), c in zip(before, cut))
     assert cut != [x[1] for x in before]
 

@@ -116,6 +116,77 @@ def test_water_level_without_the_driver(spark, monkeypatch):
     assert math.isclose(mixing.water_level(table, 120.0), expected) and mixing.water_level(table, 1e6) == float("inf")
 
 
+def test_decontamination_in_passes_with_clashing_columns(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    g = rng(12)
+    items = [(k, prose(g, 12, 10**6)) for k in range(7)]
+    rows = [(i, prose(g, 8, 10**6) + " " + items[i % 7][1] + " " + items[(3 * i) % 7][1]) for i in range(14)] + [(99, prose(g, 40000, 10**6) + " " + items[2][1])]
+    df = docs(rows).withColumns({c: F.lit("mine") for c in (*decontaminate.FOUND_AS, "items", "n_hit")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.judge(df, bench, block_words=13).collect()
+    assert {r.id: (r.n_words, r.n_hit, r.items) for r in found} == leaks(rows, items)
+    assert decontaminate.clean(df, bench, block_words=13).columns == df.columns
+
+
+def test_toxicity_equals_a_plain_learner(spark, docs):
+    import numpy as np
+    import pyarrow as pa
+
+    from logbrook.llm import kernels as K
+
+    g = rng(24)
+    rows = [(i, prose(g, g.randrange(0, 30), 60) + (" vile thing" if i % 4 == 0 else "")) for i in range(120)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 120, 2)] + [(6, 1), (8, None)]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def places(text):
+        data, offsets = K.buffers(pa.array([text], pa.string()))
+        found = sorted(set(toxicity.features(K.tokenize(data, offsets, K.ALNUM))[1].tolist()))
+        w = alnum(text)
+        plain = {(x,) for x in w} | {(w[i], w[i + 1], 1) for i in range(len(w) - 1)} | {(w[i], w[i + n], 2) for n in (2, 3) for i in range(len(w) - n)}
+        assert len(plain) - 2 <= len(found) <= len(plain)  # two places may be one
+        return [*found, 1 << toxicity.BITS]
+
+    def weight(z, n, bias):
+        if not bias and abs(z) <= toxicity.L1:
+            return 0.0
+        return -(z - math.copysign(0.0 if bias else toxicity.L1, z)) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+
+    label = {}
+    for i, x in labels:
+        if x is not None and fold(i, 5):
+            label[i] = max(x, label.get(i, 0))
+    order = {r.i: r.h for r in spark.createDataFrame([(i,) for i in label], "i long").select("i", F.xxhash64("i", F.lit(7)).alias("h")).collect()}
+    z, n = {}, {}
+    for i in sorted(label, key=lambda i: order[i]):
+        at = places(rows[i][1])
+        w = {p: weight(z.get(p, 0.0), n.get(p, 0.0), p == 1 << toxicity.BITS) for p in at}
+        grad = 1 / (1 + math.exp(-sum(w.values()))) - label[i]
+        for p in at:
+            old = n.get(p, 0.0)
+            n[p] = old + grad * grad
+            z[p] = z.get(p, 0.0) + grad - (math.sqrt(n[p]) - math.sqrt(old)) / toxicity.ALPHA * w[p]
+    plain = {p: weight(z[p], n[p], p == 1 << toxicity.BITS) for p in z}
+    plain = {p: w for p, w in plain.items() if w}
+    model = toxicity.train(docs(rows), table)
+    found = dict(zip(model[0].tolist(), model[1].tolist()))
+    assert set(found) == set(plain) and all(math.isclose(found[p], plain[p], rel_tol=1e-5, abs_tol=1e-6) for p in plain)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs(rows), model).collect()}
+    for i, t in rows:
+        assert math.isclose(scores[i], 1 / (1 + math.exp(-sum(plain.get(p, 0.0) for p in places(t)))), rel_tol=1e-4)
+    assert np.isfinite(model[1]).all()
+
+
+def test_toxicity_bound_counts_rows_and_columns_may_clash(spark, docs):
+    rows = [(i, f"text {i} vile", "s") for i in range(4) for _ in range(1000)] + [(7, "alone vile", "s"), (9, "other", "s")]
+    table = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs(rows), table, "doc_id", "text", 2, False).count() <= 2
+    df = docs(rows[-2:]).withColumn("score", F.lit("mine"))
+    out = toxicity.score(df, toxicity.train(df, table))
+    assert out.columns == [*df.columns, "score_1"] and {r.score for r in out.collect()} == {"mine"}
+    assert toxicity.score(docs([]), toxicity.train(docs([]), table)).count() == 0
+
+
 def plain_mix(rows, odds, share=1.5, most=2.0):
     """copies by (id, source, size) of a sampler that sorts every source; rows: (id, source, size)."""
     sizes = {}
@@ -294,7 +365,7 @@ def test_url_filter_without_rules_or_pages(spark):
     assert url_filter.UrlFilter(spark, some, []).judge(some, "page_id").first().verdict == "allow"
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op4_warc", "op6_decontamination", "op9_exact_dedup", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_near_dedup", "op4_warc", "op6_decontamination", "op9_exact_dedup", "op10_url_filter"])
 def test_queries_equal_sql(spark, same_rows, name):
     from logbrook.llm import queries
 
