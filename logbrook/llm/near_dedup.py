@@ -356,23 +356,28 @@ def _outsiders(crowds: DataFrame, known: DataFrame, classes: DataFrame, scratch)
     """Of large nodes (node, id): groups (grp, id, label) of members that the main component doesn't hold and members alike.
 
     Of two members with different labels at least one is outside, so all pairs that may add a link are met.
+    Nodes of which the same component holds the greater part are one crowd, so that an outsider that met
+    it in many trees is compared with it once.
     """
     labelled = crowds.join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
     labelled = scratch.write(labelled, "crowd-labels")
     counts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).where("labels > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    nodes = nodes.select("node", F.col("m.label").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("o"), blocks(F.col("all")).alias("c"))
-    mixed = scratch.write(labelled.join(nodes, "node"), "mixed")
+    crowd = F.when(2 * F.col("m.n") > F.col("all"), F.xxhash64("m.label", F.lit(3))).otherwise(F.col("node"))
+    nodes = nodes.select("node", crowd.alias("crowd"), F.col("m.label").alias("main"))
+    mixed = scratch.write(labelled.join(nodes, "node").select("crowd", "main", "id", "label").distinct(), "mixed")
     if not mixed.take(1):
         return None
-    place = F.xxhash64("id", "node")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    sizes = mixed.groupBy("crowd").agg(blocks(F.count_if(F.col("label") != F.col("main"))).alias("o"), blocks(F.count(F.lit(1))).alias("c"))
+    mixed = scratch.write(mixed.join(sizes, "crowd"), "crowds")
+    place = F.xxhash64("id", "crowd")
     one, two = F.pmod(place, F.col("o")), F.pmod(place, F.col("c"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    outside = mixed.where("label <> main").select("node", "id", "label", one.alias("i"), each("c").alias("j"), F.lit(False).alias("inside"))
-    members = mixed.select("node", "id", "label", each("o").alias("i"), two.alias("j"), F.lit(True).alias("inside"))
-    both = scratch.write(outside.unionByName(members).select(F.xxhash64("node", "i", "j").alias("grp"), "id", "label", "inside"), "blocks")
+    outside = mixed.where("label <> main").select("crowd", "id", "label", one.alias("i"), each("c").alias("j"), F.lit(False).alias("inside"))
+    members = mixed.select("crowd", "id", "label", each("o").alias("i"), two.alias("j"), F.lit(True).alias("inside"))
+    both = scratch.write(outside.unionByName(members).select(F.xxhash64("crowd", "i", "j").alias("grp"), "id", "label", "inside"), "blocks")
     rows = both.join(classes.select("id", "sig"), "id").repartition(dealt(both, SIGNATURES), "grp").sortWithinPartitions("grp", "id")
     alike = scratch.write(rows.select("grp", "id", "label", "inside", "sig").mapInArrow(_alike, "grp long, id long, label long"), "alike")
-    scratch.drop("crowd-labels", "mixed", "blocks")
+    scratch.drop("crowd-labels", "mixed", "crowds", "blocks")
     return alike
