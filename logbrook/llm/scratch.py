@@ -1,8 +1,8 @@
 """Working tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests, a laptop) a temporary
-folder is made and set as the session's checkpoint directory.  Lineage is cut by writing Parquet
-there, so a lost executor costs the tasks that it ran and nothing else.
+folder is made, once a session.  Lineage is cut by writing Parquet there, so a lost executor costs the
+tasks that it ran and nothing else.
 """
 
 from __future__ import annotations
@@ -60,12 +60,6 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def pieces(df: DataFrame, piece: int = 16 << 20, least: int = 8) -> int:
-    """How many partitions of about `piece` bytes df makes; grows with the input."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(wanted, 200_000), min(200_000, math.ceil(plan_bytes(df) / piece)))
-
-
 def dealt(df: DataFrame, rows: int) -> int:
     """Partitions of about `rows` rows of a written table (its count is in the files' footers), never below the session's number."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
