@@ -112,9 +112,11 @@ def _held(column: Column) -> Column:
     return F.when(~F.isnan(F.rand(0)), column)  # unlike monotonically_increasing_id, streams take it
 
 
-def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry | None = None, salt: str | None = "", skip=(), changes: str | None = None, mask: bool = False) -> DataFrame:
+def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry | None = None, salt: str | None = "", skip=(), changes: str | None = None, mask: bool = False, filters=()) -> DataFrame:
     """df with the redacted text in `out`; null text becomes empty.  salt=None draws a new one.
 
+    `filters` are functions of a column that give a column; they see what the patterns left, in order.
+
     `changes` names a column for what was replaced: category, pattern, confidence, pass, placeholder
     and place (line from 1, column from 0, in the text that the pass saw), sorted by line and column.
     """
@@ -128,6 +130,8 @@ def redact(df: DataFrame, text: str, out: str = "redacted", registry: Registry |
             df = df.withColumn(out, F.when(may_match(F.col(out), pattern), F.regexp_replace(out, pattern.java, mark)).otherwise(F.col(out)))
             continue
         df = _step(df, out, pattern, number, _marker(pattern.category, salt, mask), changes)
+    for own in filters:
+        df = df.withColumn(out, F.coalesce(own(F.col(out)), F.col(out)))
     df = df.withColumn(out, _held(F.col(out)))
     if changes:
         key = lambda x: F.struct(x["line"].alias("a"), x["column"].alias("b"), x["pass"].alias("c"), x.alias("x"))

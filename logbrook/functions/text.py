@@ -34,11 +34,6 @@ def human_size(size: Column) -> Column:
     )
 
 
-def truthy(value: Column, empty) -> Column:
-    """value unless it is null or `empty`; coalesce would keep 0 and the empty string."""
-    return F.when(value.isNotNull() & (value != F.lit(empty)), value)
-
-
 def iso_from_millis(ms: Column) -> Column:
     """RFC 3339 in UTC, with a fraction only where there is one."""
     micros = (ms % 1000).cast("int") * 1000

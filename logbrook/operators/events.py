@@ -50,10 +50,6 @@ def _event(kind, idx: Column | int = 0, **fields: Column) -> Column:
 _NONE = "array<struct<idx:bigint,kind:string," + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>"
 
 
-def _none() -> Column:
-    return F.from_json(F.lit("[]"), _NONE.replace("input:variant", "input:variant"))
-
-
 def lines(files: DataFrame, session: Column, content: Column) -> DataFrame:
     """session_id, line_no, value: universal newlines, blank lines left out, invalid UTF-8 replaced."""
     text = F.make_valid_utf8(content.cast("string"))
@@ -126,9 +122,6 @@ def unknown(rows: DataFrame, flag: Column) -> DataFrame:
 
 # ---- block lines: user and assistant lines whose content is text or a list of blocks ---------------
 
-BLOCK_IGNORED = ("", "last-prompt", "permission-mode", "file-history-snapshot", "attachment")
-
-
 def _block_events(v: Column) -> tuple[Column, Column]:
     """(events, counts) of a line; a list advances the sequence by one more than its blocks."""
     kind, ts, content = F.coalesce(_get(v, "$.type"), F.lit("")), _get(v, "$.timestamp"), _get(v, "$.message.content", "variant")
@@ -298,11 +291,6 @@ def role_unknown(rows: DataFrame) -> DataFrame:
     return parsed(rows).groupBy("session_id").agg(F.sum(odd).cast("long").alias("unknown_event_types"))
 
 
-def role_metadata(rows: DataFrame) -> DataFrame:
-    found = parsed(rows).where(_get(F.col("v"), "$.role") == "session_meta")
-    return found.groupBy("session_id").agg(*[F.min_by(_get(F.col("v"), f"$.{n}"), "line_no").alias(n) for n in ("provider", "model", "system_prompt")])
-
-
 # ---- documents: sessions, messages and parts in files of their own ----------------------------------
 
 PART_SILENT = ("reasoning", "step-start", "step-finish", "patch", "Unknown")

@@ -90,15 +90,22 @@ def warnings(redacted: DataFrame, file: str = "path", registry: Registry | None
     return redacted.select(F.col(file).alias("path"), first["pattern"].alias("pattern"), message.alias("warning")).where("pattern is not null")
 
 
-def preview_text(totals: Column, files: Column) -> Column:
-    """A fixed-width preview of one bundle: a preview row and an array of inventory rows."""
-    head = F.concat_ws(
-        "\n", F.lit("=" * 60), F.lit("  REDACTION PREVIEW"), F.lit("=" * 60),
-        F.format_string("  Files processed:   %d", totals["total_files"]), F.concat(F.lit("  Original size:     "), human_size(totals["total_original_size"])),
-        F.concat(F.lit("  Redacted size:     "), human_size(totals["total_redacted_size"])), F.format_string("  Total redactions:  %d", totals["total_redactions"]),
-        F.format_string("  High confidence:   %d", totals["high_confidence_count"]), F.format_string("  Medium confidence: %d", totals["medium_confidence_count"]),
-        F.concat(F.lit("  Risk level:        "), F.upper(totals["risk_level"])), F.lit("--- FILE INVENTORY ---"),
-    )
-    row = lambda f: F.concat(F.lit("  "), F.rpad(f["path"], 50, " "), F.lpad(human_size(f["original_size"]), 9, " "), F.lpad(human_size(f["redacted_size"]), 9, " "), F.lpad(f["redactions"].cast("string"), 7, " "))
-    end = F.when(totals["export_blocked"], F.lit("  EXPORT BLOCKED: high-confidence secrets were found")).otherwise(F.lit("  Export: allowed"))
-    return F.concat_ws("\n", head, F.array_join(F.transform(files, row), "\n"), end)
+def preview_text(redacted: DataFrame, *keys: str, file: str = "path", registry: Registry | None = None) -> DataFrame:
+    """keys, text: a preview for people, a document per bundle; categories and files in alphabetical order."""
+    listed = inventory(redacted, file, "text", *keys)
+    totals = preview(listed, *keys)
+    size = F.concat(human_size(F.col("original_size")), F.lit(" -> "), human_size(F.col("redacted_size")))
+    line = F.concat(F.lit("* "), "path", F.lit(": "), size, F.lit(", "), F.col("redactions").cast("string"), F.lit(" replaced, "), F.col("high_confidence").cast("string"), F.lit(" of high confidence"))
+    files = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("files"))
+    kinds = by(changes(redacted, file, *keys), "category", *keys)
+    kinds = kinds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat(F.lit("* "), "category", F.lit(": "), F.col("n").cast("string")))).alias("kinds"))
+    names = (registry or Registry()).names("medium")
+    first = F.get(F.filter("changes", lambda x: x["pattern"].isin(names)), F.lit(0))["pattern"]
+    told = redacted.select(*keys, F.concat(F.lit("* "), F.col(file), F.lit(": "), first).alias("w")).where("w is not null").groupBy(*keys).agg(F.array_sort(F.collect_list("w")).alias("told"))
+    on = list(keys)
+    joined = totals.join(files, on).join(kinds, on, "left").join(told, on, "left")
+    block = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(c, "\n")))
+    head = F.concat(F.col("total_files").cast("string"), F.lit(" files, "), human_size(F.col("total_original_size")), F.lit(" before and "), human_size(F.col("total_redacted_size")), F.lit(" after"))
+    counts = F.concat(F.col("total_redactions").cast("string"), F.lit(" replacements: "), F.col("high_confidence_count").cast("string"), F.lit(" of high, "), F.col("medium_confidence_count").cast("string"), F.lit(" of medium confidence"))
+    end = F.when(F.col("export_blocked"), "Blocked: secrets of high confidence were found.").otherwise("Free to export.")
+    return joined.select(*keys, F.concat_ws("\n\n", head, counts, F.concat(F.lit("Risk: "), "risk_level", F.lit(". "), end), block("By category", F.col("kinds")), block("Look at these by hand", F.col("told")), block("Files", F.transform("files", lambda f: f["line"]))).alias("text"))

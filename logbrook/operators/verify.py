@@ -156,6 +156,8 @@ def manifests_of(members: DataFrame) -> DataFrame:
 
 def verify(members: DataFrame, strict: bool = False) -> DataFrame:
     """Every issue of every bundle.  `members` is read several times; write or cache it first."""
+    from .. import schemas
+
     headers = header_issues(members)
     safe = members.where("problem is null").join(headers.select("bundle").distinct(), "bundle", "left_anti")
     named = safe.withColumn("sha256", F.sha2("content", 256))
@@ -171,6 +173,9 @@ def verify(members: DataFrame, strict: bool = False) -> DataFrame:
     checked = good.join(schema, "bundle", "left_semi").withColumn("found", schema_problems(F.col("v"), F.col("manifest")))
     out.append(issue(checked.where(F.size("found") == 0), "MANIFEST_SCHEMA", F.lit("manifest.json validates against schema"), "info"))
     out.append(issue(checked.select("bundle", F.explode(F.slice("found", 1, 5)).alias("m")), "MANIFEST_SCHEMA", F.concat(F.lit("manifest.json schema: "), "m")))
+    held = schemas.against_files(rest).groupBy("bundle", "name").agg(F.slice(F.array_sort(F.collect_set("message")), 1, 5).alias("found"))
+    by_file = F.when(F.col("name") == "manifest.json", "MANIFEST_SCHEMA_FILE").otherwise("INCIDENT_SCHEMA_FILE")
+    out.append(issue(held.select("bundle", by_file.alias("code"), "name", F.explode("found").alias("m")), "", F.concat("name", F.lit(": "), "m")).drop("code").withColumn("code", F.lit("MANIFEST_SCHEMA")))
     sums = checksum_lines(rest)
     out.append(issue(sums.where("digest is null"), "CHECKSUMS_FORMAT", F.concat(F.lit("Invalid checksums.txt line: "), "line")))
     without = good.select("bundle").join(rest.where("name = 'checksums.txt'").select("bundle"), "bundle", "left_anti")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import tarfile
 
 import pandas as pd
@@ -61,15 +63,26 @@ def pack(files: dict[str, bytes], zstd: bool = True) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
+def disagreement(bundle: str, files: dict[str, bytes]) -> str | None:
+    """What a bundle's manifest and checksums say that its members don't bear out."""
+    manifest = json.loads(files["manifest.json"])
+    if manifest["bundle_id"] != bundle:
+        return "the manifest names another bundle"
+    found = {n: hashlib.sha256(c).hexdigest() for n, c in files.items() if n not in ("manifest.json", "checksums.txt")}
+    if {f["path"]: f["sha256"] for f in manifest["files"]} != found:
+        return "the manifest's files are not the members"
+    lines = files["checksums.txt"].decode().splitlines()
+    return None if dict(reversed(x.split("  ", 1)) for x in lines) == found else "the checksums are not those of the members"
+
+
 def write_bundles(members: DataFrame, folder: str, zstd: bool = True) -> DataFrame:
     """Writes one archive per bundle_id from rows (bundle_id, path, content); rows (bundle_id, path, bytes, sha256).
 
     A bundle is bounded by the payload limit, so it is one group.  Archives appear by rename after
-    they have been read back and compared.
+    they have been read back and compared, and where manifest and checksums fit the members.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
         import os
 
         from pyarrow import fs
@@ -79,6 +92,8 @@ def write_bundles(members: DataFrame, folder: str, zstd: bool = True) -> DataFra
         raw = pack(files, zstd)
         if {m[0]: m[5] for m in members_of(raw)} != files:
             raise ValueError(f"{bundle}: the archive does not read back as it was written")
+        if told := disagreement(bundle, files):
+            raise ValueError(f"{bundle}: {told}")
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         name = f"{base}/{bundle}.tar.zst" if zstd else f"{base}/{bundle}.tar"

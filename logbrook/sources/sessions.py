@@ -13,16 +13,11 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SourceError
 from ..functions.text import iso_from_millis, stem
 from ..operators import events as ev
 
 
-class SourceError(ValueError):
-    def __init__(self, message: str, code: str):
-        self.code = code
-        super().__init__(f"[{code}] {message}")
-
-
 class Connector(Protocol):
     def discover(self, selector: str = "") -> DataFrame: ...
 
