@@ -272,28 +272,85 @@ def test_lm_counts_and_gain(spark, docs, scratch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
+def restaurants(g, n_words=60, bits=8):
     import numpy as np
 
     from logbrook.llm import kernels as K
 
-    keys = np.array([(w << 8) | u for w in range(1, 40) for u in (97, 101) if (w + u) % 3], np.uint64)
-    counts = np.arange(1, len(keys) + 1, dtype=np.int64) % 7 + 1
-    world = {"customers": np.bincount((keys & K.U64(255)).astype(int), counts, 256), "tables": np.bincount((keys & K.U64(255)).astype(int), minlength=256), "types": 39, "tokens": int(counts.sum()), "discount": 0.6, "root_discount": 0.5}
-    world |= {"root_customers": len(keys), "root_tables": 39}
+    keys = np.array(sorted((w << 16) | u for w in range(1, n_words) for u in range(1, 1 << bits) if g.random() < 0.1), np.uint64)
+    counts = np.array([g.choice([1, 1, 2, 3, 8, 9, 40, 700]) for _ in keys], np.int64)
+    context = (keys & K.U64(0xFFFF)).astype(int)
+    world = {"customers": np.bincount(context, counts, 1 << bits), "tables": np.bincount(context, minlength=1 << bits), "types": n_words - 1, "tokens": int(counts.sum()), "discount": 0.6, "root_discount": 0.4}
+    return keys, counts, context, world | {"root_customers": len(keys), "root_tables": n_words - 1}
+
+
+def test_lm_probabilities_sum_to_one_on_the_answering_path():
+    import numpy as np
+
+    keys, counts, context, world = restaurants(rng(3))
     r = lm_score.Restaurants(0, keys, counts, world)
-    for _ in range(5):
+    worlds, kept, n = [], b"", len(r.words)
+    for number in range(4):
         r.sweep()
-        assert (r.seats.customers() == counts[r.many]).all() and (r.tables >= 1).all() and (r.tables <= counts).all()
-        assert (r.root.customers() == np.bincount(r.word, r.tables)).all()
-    world |= {"tables": np.bincount(r.context, r.tables, 256), "root_customers": int(r.tables.sum()), "root_tables": int(r.root.tables().sum())}
-    parent = r.parent()
-    assert math.isclose(parent.sum() + r.unknown(), 1, rel_tol=1e-9)
-    for u in (97, 101):
-        scale = lm_score.THETA + world["customers"][u]
-        back = (lm_score.THETA + world["discount"] * world["tables"][u]) / scale
-        own = (r.context == u)
-        assert math.isclose(((r.counts - world["discount"] * r.tables)[own] / scale).sum() + back, 1, rel_tol=1e-9)
+        sizes, tables = r.seated()
+        at = np.cumsum(tables) - tables
+        assert (np.add.reduceat(sizes, at) == counts).all() and (tables >= 1).all() and (tables <= counts).all() and (sizes >= 1).all()
+        assert (r.root.customers() == np.bincount(r.word, tables)).all()
+        kept += tables.astype(np.int32).tobytes() + r.root.tables().astype(np.int32).tobytes()
+        worlds.append(world | {"tables": np.bincount(context, tables, 256).astype(int), "root_tables": int(r.root.tables().sum()), "root_customers": int(tables.sum())})
+        r = lm_score.Restaurants(0, keys, counts, worlds[-1], number + 1, (sizes, tables), (r.root.size, r.root.tables()))
+    seen, fresh, lost, backs = lm_score.predictive(worlds, keys, counts, kept)
+    for u in range(256):
+        own = context == u
+        rest = np.setdiff1d(np.arange(n), r.word[own])
+        unseen = sum(backs[k][u] * (fresh[k][rest].sum() + lost[k]) for k in range(4)) / 4
+        assert math.isclose(seen[own].sum() + unseen, 1, rel_tol=1e-9)
+
+
+def test_lm_table_counts_follow_the_restaurant():
+    """The number of tables of one dish against its exact distribution, from one-by-one seating and from shares."""
+    import numpy as np
+
+    d, new = 0.5, 0.8
+    for count, rounds in ((6, "one"), (30, "share")):
+        weight = {1: 1.0}  # by table count: sum over seatings of the product of (s - d) factors
+        for n in range(1, count):
+            nxt = {}
+            for t, w in weight.items():
+                nxt[t] = nxt.get(t, 0.0) + w * (n - t * d)
+                nxt[t + 1] = nxt.get(t + 1, 0.0) + w
+            weight = nxt
+        exact = {t: w * new**t for t, w in weight.items()}
+        mean = sum(t * w for t, w in exact.items()) / sum(exact.values())
+        dishes = 4000
+        seats = lm_score.Seats(np.random.default_rng(1), dishes, np.arange(dishes), np.full(dishes, count))
+        who = np.arange(dishes)
+        for _ in range(6):
+            for _ in range(count if rounds == "one" else lm_score.ROUNDS):
+                if rounds == "one":
+                    seats.leave(who)
+                    seats.sit(who, d, np.full(dishes, new))
+                else:
+                    gone = seats.leave_share(1 / lm_score.ROUNDS)
+                    some = np.flatnonzero(gone)
+                    seats.sit_many(some, gone[some], d, np.full(len(some), new))
+        assert (seats.customers() == count).all()
+        assert abs(seats.tables().mean() - mean) < (0.05 if rounds == "one" else 0.15) * mean, (count, seats.tables().mean(), mean)
+
+
+def test_lm_in_groups_of_slices_and_empty_tables(spark, docs, scratch, monkeypatch):
+    g = rng(13)
+    rows = [(i, prose(g, 40, 50)) for i in range(200)] + [(300, prose(g, 30000, 50))]
+    whole = {r.id: r for r in lm_score.score(docs(rows), scratch).collect()}
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    cut = {r.id: r for r in lm_score.score(docs(rows), type(scratch)(spark, "cut")).collect()}
+    for i, r in whole.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (cut[i].n_tokens, cut[i].n_known, cut[i].train_tokens) and math.isclose(r.base_score, cut[i].base_score, rel_tol=1e-9)
+        assert math.isclose(r.score, cut[i].score, rel_tol=1e-3)
+    assert lm_score.score(docs([]), type(scratch)(spark, "none")).count() == 0
+    only = lm_score.score(docs([(i, "a b") for i in range(200) if fold(i, 10) == 0]), type(scratch)(spark, "held")).collect()
+    assert only and all(r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.score, 0.0, abs_tol=1e-6) for r in only)
 
 
 def test_warc_round_trip(spark, scratch):
