@@ -47,7 +47,6 @@ def _event(kind, idx: Column | int = 0, **fields: Column) -> Column:
     return F.struct(idx.cast("bigint").alias("idx"), kind.alias("kind"), *values)
 
 
-_NONE = "array<struct<idx:bigint,kind:string," + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>"
 
 
 def lines(files: DataFrame, session: Column, content: Column) -> DataFrame:
