@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import patterns as P
 from ..functions import policy, redact, text
+from ..functions.json_leaves import redact_json
 from ..operators import events as ev
 from ..operators import incidents, manifest, report, verify
 from ..sources.sessions import select
@@ -227,6 +229,33 @@ def residual_after_redaction(spark, sf_dir):
     return _changed(spark, sf_dir).where(redact.residual(F.col("redacted")).isNotNull()).select("doc_id")
 
 
+# ---- leaves, snippets -----------------------------------------------------------------------------
+
+_LEAVES = P.Registry(tuple(_pattern(n) for n in ("email", "home_path", "ipv4_address")))
+_MARK = lambda kind, literal: f"'<REDACTED_{kind}_' || substr(sha256('{SALT}' || {literal}), 1, 16) || '>'"
+_NESTED = """concat('{{"mail":"', {mail}, '","u', user_id, '@example.org":', event_id, ',"in":{{"at":"', {home}, ' ', chr(92), '"q', chr(92), '"","list":["', event_type, '",null,["ip ', {ip}, '"]]}}}}')"""
+_MAIL, _HOME, _IP = "concat('u', user_id, '@example.org')", "concat('/home/u', user_id, '/x')", "concat('10.0.', event_id % 250, '.1')"
+
+
+@query("SELECT event_id, " + _NESTED.format(mail=_MARK("email", _MAIL), home=_MARK("home_path", _HOME), ip=_MARK("ipv4", _IP)) + " AS redacted, 3 AS n FROM events")
+def json_leaf_redaction(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED.format(mail=_MAIL, home=_HOME, ip=_IP)).alias("v"))
+    done = redact_json(rows, "v", ["event_id"], SALT, _LEAVES)
+    return done.select("event_id", "redacted", F.size("changes").cast("long").alias("n"))
+
+
+_AROUND = "concat(repeat('a', cast(event_id % 60 AS int)), ' u', user_id, '@example.org ', repeat('b', cast(event_id % 50 AS int)))"
+
+
+@query(f"""WITH t AS (SELECT event_id, regexp_replace({_AROUND}, '{_EMAIL}', '<REDACTED_email>') AS r FROM events),
+           p AS (SELECT event_id, strpos(r, '<REDACTED_email>') - 1 AS n, left(r, strpos(r, '<REDACTED_email>') - 1) AS b, substr(r, strpos(r, '<REDACTED_email>') + 16) AS a FROM t)
+           SELECT event_id, CASE WHEN n > 40 THEN '...' || right(b, 30) ELSE b END || '<REDACTED_email>' || CASE WHEN length(a) > 40 THEN left(a, 30) || '...' ELSE a END AS snippet FROM p""")
+def change_snippets(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("path"), F.expr(_AROUND).alias("text"))
+    done = redact.redact(rows, "text", registry=P.Registry((_pattern("email"),)), mask=True, changes="changes")
+    return report.changes(done, "path", "event_id").select("event_id", "snippet")
+
+
 # ---- sessions -------------------------------------------------------------------------------------
 
 
@@ -257,6 +286,13 @@ def normalize_block_seq(spark, sf_dir):
     return ev.from_block_lines(_block_session(spark, sf_dir)).select("session_id", "seq", "kind", "message")
 
 
+@query("""WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, CASE WHEN role = 'assistant' THEN 'assistant_message' ELSE 'user_message' END AS kind, sha256(left(text, 16384)) AS message_sha256 FROM conversations)
+          SELECT 'conv-' || conv_id AS session_id, seq, kind, message_sha256 FROM l""")
+def rollout_events(spark, sf_dir):
+    line = F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", F.col("text").alias("content")).alias("payload"))
+    return ev.from_rollout_lines(_session_lines(spark, sf_dir, line)).where("kind like '%_message'").select("session_id", F.dense_rank().over(W.partitionBy("session_id").orderBy("seq")).cast("long").alias("seq"), "kind", F.sha2("message", 256).alias("message_sha256"))
+
+
 def _role_session(spark, sf_dir) -> DataFrame:
     return _session_lines(spark, sf_dir, F.struct("role", F.col("text").alias("content")))
 
@@ -305,8 +341,6 @@ def tool_call_asof(spark, sf_dir):
         F.when(user, "assistant").when(F.col("role") == "assistant", "tool").otherwise("system").alias("role"), F.when(~user, F.col("text")).alias("content"),
         F.when(user, F.array(call)).alias("tool_calls"), F.when(~user, F.concat(F.lit("c"), ((F.col("turn") + 1) % 3).cast("string"))).alias("tool_call_id"),
     )
-    from pyspark.sql import Window as W
-
     found = ev.from_role_lines(_session_lines(spark, sf_dir, line)).where("kind = 'tool_result'")
     return found.select("session_id", F.row_number().over(W.partitionBy("session_id").orderBy("seq")).cast("long").alias("n"), "tool")
 
@@ -573,14 +607,57 @@ def reproduction_class(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", found["classification"].alias("classification"), F.array_join(found["reasons_not_exact"], ",").alias("reasons"))
 
 
+# ---- what verification says of single members -------------------------------------------------------
+
+
+def _members(spark, sf_dir, name: str, content: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bundle"), F.expr(name).alias("name"), F.expr(content).cast("binary").alias("content"))
+
+
+@query("""SELECT doc_id AS bundle, n, line, digest, path FROM (SELECT doc_id, unnest([
+            {'n': 0, 'line': sha256(text) || '  f/a b.txt', 'digest': sha256(text), 'path': 'f/a b.txt'}, {'n': 2, 'line': 'no two spaces ' || doc_id, 'digest': NULL, 'path': NULL}]) AS x FROM documents), LATERAL (SELECT x.n, x.line, x.digest, x.path)""")
+def checksum_file_lines(spark, sf_dir):
+    content = "concat(sha2(text, 256), '  f/a b.txt', chr(10), '  ', chr(10), ' no two spaces ', doc_id, ' ', chr(10))"
+    found = verify.checksum_lines(_members(spark, sf_dir, "'checksums.txt'", content))
+    return found.select("bundle", F.col("n").cast("long").alias("n"), "line", "digest", "path")
+
+
+@query("""WITH r AS (SELECT doc_id AS bundle, doc_id % 5 AS k FROM documents)
+          SELECT bundle, CASE k WHEN 0 THEN 'REDACTION_REPORT' WHEN 1 THEN 'REDACTION_UNRESOLVED' WHEN 2 THEN 'REDACTION_REPORT_MISSING_FIELD' WHEN 3 THEN 'REDACTION_PARSE' ELSE 'REDACTION_MISSING' END AS code,
+                 CASE k WHEN 0 THEN 'info' WHEN 2 THEN 'warning' ELSE 'error' END AS severity,
+                 CASE k WHEN 0 THEN 'redaction-report.json: unresolved = 0' WHEN 1 THEN 'redaction-report.json: unresolved = 3' WHEN 4 THEN 'redaction-report.json is in the manifest but can''t be read' ELSE 'redaction-report.json: unresolved = not given' END AS message FROM r""")
+def report_member_issues(spark, sf_dir):
+    content = """CASE doc_id % 5 WHEN 0 THEN '{"high_confidence_unresolved":0}' WHEN 1 THEN '{"high_confidence_unresolved":3}' WHEN 2 THEN '{}' ELSE 'nonsense' END"""
+    members = _members(spark, sf_dir, "CASE WHEN doc_id % 5 = 4 THEN 'other.json' ELSE 'redaction-report.json' END", content)
+    return verify.report_issues(members, members.select("bundle", F.lit("redaction-report.json").alias("path")))
+
+
+_ARCHIVED = "CASE doc_id % 8 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'x/.ssh/id_rsa' WHEN 2 THEN 'k/server.pem' WHEN 3 THEN 'notes.md' WHEN 4 THEN '.git/config' WHEN 5 THEN 'a/.aws/credentials' WHEN 6 THEN 'session.jsonl' ELSE 'deep/id_ed25519' END"
+_ARCHIVE_DENY = "CASE " + " ".join(f"WHEN regexp_matches(n, '{r}') THEN '{why}'" for why, r in policy.ARCHIVE_DENY) + " END"
+
+
+@query(f"""SELECT bundle, 'HARD_DENY_PATH' AS code, 'error' AS severity, 'Hard-deny path in archive: ' || n || ' (' || why || ')' AS message
+           FROM (SELECT doc_id AS bundle, n, {_ARCHIVE_DENY} AS why FROM (SELECT doc_id, {_ARCHIVED} AS n FROM documents)) WHERE why IS NOT NULL""")
+def deny_member_issues(spark, sf_dir):
+    return verify.deny_issues(_members(spark, sf_dir, _ARCHIVED, "''"))
+
+
+_TEXTUAL = "CASE WHEN doc_id % 2 = 0 THEN 'a.TXT' ELSE 'a.bin' END"
+
+
+@query(f"""SELECT bundle, 'RESIDUAL_SECRET' AS code, 'warning' AS severity, 'Possible residual secret in a.TXT: ' || hit AS message FROM (SELECT doc_id AS bundle, {_residual(_INJECT)} AS hit FROM documents WHERE doc_id % 2 = 0) WHERE hit IS NOT NULL""")
+def residual_member_issues(spark, sf_dir):
+    return verify.residual_issues(_members(spark, sf_dir, _TEXTUAL, _INJECT))
+
+
 # ---- streams --------------------------------------------------------------------------------------
 
 
-@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS rows FROM events GROUP BY 1""")
+@query(f"""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS rows, cast(sum({" + ".join(f"len(regexp_extract_all(props, '{_sql(p)[0]}'))" for p in P.PATTERNS)}) AS bigint) AS matches FROM events GROUP BY 1""")
 def stream_window_counts(spark, sf_dir):
-    """The tumbling counts of the stream operator, run to the end of the table."""
+    """The tumbling counts of the stream operator, run to the end of the table as a batch; a test runs them as a stream."""
     rows = table(spark, sf_dir, "events")
     from ..streaming.redaction import counts
 
     found = counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), "props", late="0 seconds")
-    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "rows")
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "rows", "matches")
