@@ -18,8 +18,10 @@ Archives are read by Spark; tasks write them with pyarrow's file systems (file,
 
 Defined cases: a null payload is empty; a null id loses to any other, is written as an empty page id
 and comes back null; rows that repeat the largest id of their payload are all responses; payloads
-under `min_bytes` are all responses; an empty table makes no archive and no rows; other columns are
-ignored.
+under `min_bytes` are all responses; repeated rows are records of their own, whose ids have a number more
+(so a revisit of a payload whose response stands in repeated rows names their common beginning); a very long
+payload is one row, in segments between writing and reading; an empty table makes no archive and no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +116,7 @@ def records(archive: bytes):
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id, payload, sha1, refers_to): refers_to is null for responses."""
+    """(id, payload, sha1, refers_to, repeated): refers_to is null for responses; repeated rows share id and payload."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
@@ -123,19 +125,28 @@ def plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", m
     revisits = rows.select("id", "sha1").join(several, "sha1").where(F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best")))
     revisits = revisits.select(F.col("id").alias("rid"), F.col("sha1").alias("rsha1"), "best").distinct()
     found = rows.join(revisits, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha1")), "left")
-    return found.select("id", "payload", "sha1", F.col("best").alias("refers_to"))
+    repeated = rows.groupBy(F.col("id").alias("pid"), F.col("sha1").alias("psha1")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    found = found.join(repeated, F.col("id").eqNullSafe(F.col("pid")) & (F.col("sha1") == F.col("psha1")), "left")
+    return found.select("id", "payload", "sha1", F.col("best").alias("refers_to"), F.col("rows").isNotNull().alias("repeated"))
 
 
 def _urn(page: int | None) -> str:
     return f"urn:page:{'' if page is None else page}"
 
 
+def _record_id(page: int | None, sha1: bytes) -> str:
+    return f"{_urn(page)}:{base32_sha1(sha1)}"
+
+
 def page_records(page: int | None, payload: bytes, sha1: bytes, refers_to: int | None, serial: str, segment_bytes: int):
-    """The records of one page; `serial` sets apart pages that share an id."""
-    rid, uri = f"{_urn(page)}:{serial}", f"{_urn(page)}"
+    """The records of one page; `serial`, if any, sets apart rows that share id and payload.
+
+    A revisit refers to the id of the response, which follows from the page and the payload.
+    """
+    rid, uri = _record_id(page, sha1) + (f":{serial}" if serial else ""), f"{_urn(page)}"
     digest = f"sha1:{base32_sha1(sha1)}"
     if refers_to is not None:
-        yield record("revisit", rid, b"", WARC_Target_URI=uri, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{_urn(refers_to)}>", WARC_Payload_Digest=digest, X_Payload_Length=len(payload))
+        yield record("revisit", rid, b"", WARC_Target_URI=uri, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{_record_id(refers_to, sha1)}>", WARC_Payload_Digest=digest, X_Payload_Length=len(payload))
         return
     block = _HTTP + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -168,10 +179,10 @@ def write(planned: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, f
             return pa.RecordBatch.from_pydict({"path": [folder.rstrip("/") + name[len(base) :]], "records": [n]})
 
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("id", "payload", "sha1", "refers_to"))):
-                page, payload, sha1, refers_to = (x.as_py() for x in row)
+            for row in zip(*(batch.column(c) for c in ("id", "payload", "sha1", "refers_to", "repeated"))):
+                page, payload, sha1, refers_to, repeated = (x.as_py() for x in row)
                 serial += 1
-                for data in page_records(page, payload, sha1, refers_to, f"{task}-{serial}", segment_bytes):
+                for data in page_records(page, payload, sha1, refers_to, f"{task}-{serial}" if repeated else "", segment_bytes):
                     held.append(data)
                     size += len(data)
                     if size >= file_bytes:
@@ -244,6 +255,22 @@ def _decode(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=READ.names)
 
 
+_WHOLE = "kind string, page string, refers_to string, digest string, length long, block binary"
+
+
+def _joined(batches):
+    """One block of each origin's segments, which must be 1, 2, 3, ... and make the total length."""
+    for batch in (b.slice(at, 16) for b in batches for at in range(0, b.num_rows, 16)):
+        rows = []
+        for origin, page, digest, total, parts in zip(*(batch.column(c).to_pylist() for c in ("origin", "page", "digest", "total", "parts"))):
+            block = b"".join(x["block"] for x in parts)
+            if [x["segment"] for x in parts] != list(range(1, len(parts) + 1)) or len(block) != total:
+                raise ValueError(f"segments of {origin} are missing or do not make the total length")
+            rows.append(("response", page, None, digest, None, block))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _WHOLE.split(", ")])
+
+
 def read(archives: DataFrame) -> DataFrame:
     """Pages from a `binaryFile` DataFrame of archives.  Fails on gaps, wrong lengths, framing or digests."""
     parsed = archives.select("content").mapInArrow(_parse, _PARSED)
@@ -255,12 +282,7 @@ def read(archives: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    gapless = F.array_max("parts.segment") == F.size("parts")
-    block = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
-    checked = joined.select("*", block.alias("joined")).select(
-        F.lit("response").alias("kind"), "page", F.lit(None).cast("string").alias("refers_to"), "digest", F.lit(None).cast("long").alias("length"),
-        F.when(gapless & (F.octet_length("joined") == F.col("total")), F.col("joined")).otherwise(F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are missing or do not make the total length")))).alias("block"),
-    )
+    checked = joined.mapInArrow(_joined, _WHOLE)
     return whole.unionByName(checked).mapInArrow(_decode, READ)
 
 
