@@ -87,7 +87,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return _urls.UrlFilter(spark, pages, RULES).judge(pages, "page_id")
+    return _urls.UrlFilter(spark, pages, RULES, scratch=Scratch(spark, "url-filter")).judge(pages, "page_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_near_dedup, op4_warc, op5_lm_score, op6_decontamination, op7_toxicity, op8_mixing, op9_exact_dedup, op10_url_filter)}

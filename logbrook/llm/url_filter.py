@@ -13,11 +13,13 @@ tests inside one projection: no join, no shuffle, no Python.
 
 The bits are constants of the plan.  Level 1 is sized from the rules, later levels from the count of
 wrong members at one half false positives, so the size follows the rules and the false positives;
-`MAX_BITS` is checked before anything is built.
+`MAX_BITS` is checked before anything is built.  A level's bits stand in the plan once, whatever the number
+of candidates and hash functions; with a scratch folder the universe is written once and read by all levels.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no rule; empty
-tables give no rows; repeated rows are judged alike; other columns are ignored; no rules: no URL is
-listed and every verdict is the default.
+tables give no rows; repeated rows are judged alike; of rules that fit the longest wins, and of these the
+last in code-point order; a very long URL is judged by its host and as much of its path as the longest rule
+has; other columns are ignored; no rules: no URL is listed and every verdict is the default.
 """
 
 from __future__ import annotations
@@ -65,12 +67,17 @@ def _places(key: Column, bits: int, k: int, level: int) -> list[Column]:
 
 
 def _holds(key: Column, words: list[int], k: int, level: int) -> Column:
+    """Whether a level holds the key; its bits stand in the plan once, bound to a name that all its tests use."""
     table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one constant
-    found = [F.call_function("bit_get", F.get(table, (at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in _places(key, 64 * len(words), k, level)]
-    out = found[0]
-    for x in found[1:]:
-        out = out & x
-    return out
+
+    def tests(bits: Column) -> Column:
+        found = [F.call_function("bit_get", F.get(bits, (at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in _places(key, 64 * len(words), k, level)]
+        out = found[0]
+        for x in found[1:]:
+            out = out & x
+        return out
+
+    return F.get(F.transform(F.array(table), tests), 0)
 
 
 def _bloom(keys: DataFrame, n: int, rate: float, level: int) -> tuple[list[int], int]:
@@ -134,7 +141,7 @@ def candidates(host: Column, path: Column, rules: list[Rule]) -> list[Column]:
 class UrlFilter:
     """A cascade for all rules and one for those that block, over the keys of one corpus."""
 
-    def __init__(self, spark: SparkSession, urls: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow"):
+    def __init__(self, spark: SparkSession, urls: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", scratch=None):
         self.rules, self.default = rules, default
         host, path = parse_url(F.col(url_col))
         self.keys: DataFrame | None = None
@@ -142,6 +149,7 @@ class UrlFilter:
         if rules:
             once = urls.select(host.alias("h"), path.alias("p"))
             universe = once.select(F.explode(F.array(*candidates(F.col("h"), F.col("p"), rules))).alias("key")).distinct()
+            universe = scratch.write(universe, "universe") if scratch else universe
             self.listed = build(spark, [r.key for r in rules], universe)
             self.blocking = build(spark, [r.key for r in rules if r.verdict == "block"], universe.join(_keys(spark, [r.key for r in rules]), "key", "left_semi"))
 
@@ -151,8 +159,8 @@ class UrlFilter:
         once = df.select(*carry, host.alias("host"), path.alias("path"))
         if not self.rules:
             return once.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(self.default)})
-        fits = [F.when(self.listed.has(c), F.struct(F.length(c).alias("n"), c.alias("key"))) for c in candidates(F.col("host"), F.col("path"), self.rules)]
-        best = F.greatest(*fits) if len(fits) > 1 else fits[0]
-        found = once.withColumn("rule", best["key"])
+        tried = F.array(*candidates(F.col("host"), F.col("path"), self.rules))
+        fits = F.transform(tried, lambda c: F.when(self.listed.has(c), F.struct(F.length(c).alias("n"), c.alias("key"))))
+        found = once.withColumn("rule", F.array_max(fits)["key"])
         verdict = F.when(F.col("rule").isNull(), F.lit(self.default)).when(self.blocking.has(F.col("rule")), "block").otherwise("allow")
         return found.withColumn("verdict", verdict)
