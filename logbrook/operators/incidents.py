@@ -104,10 +104,18 @@ def problems(v: Column) -> Column:
 def sessions_of(incidents: DataFrame, sessions: DataFrame) -> DataFrame:
     """incidents with the newest session whose id holds session_ref, and whether it was found.
 
-    The lookup is by part of an id, so it can't be hashed; sessions are a listing, one row per log.
+    The lookup is by part of an id.  The parts of all ids that are as long as some reference meet the references
+    in a hash join; a reference longer than every id finds nothing, so the lengths are as few as an id is long.
     """
-    hit = incidents.where("session_ref is not null and session_ref <> ''").join(sessions.select(F.col("session_id").alias("_s"), F.col("started_at").alias("_at")), F.col("_s").contains(F.col("session_ref")))
-    first = W.partitionBy("incident_id").orderBy(F.col("_at").desc_nulls_last(), "_s")
-    best = hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("incident_id", F.col("_s").alias("session_id"))
+    asked = incidents.where("session_ref is not null and session_ref <> ''")
+    longest = sessions.agg(F.max(F.length("session_id"))).first()[0] or 0
+    lengths = [r.n for r in asked.select(F.length("session_ref").alias("n")).where(F.col("n") <= longest).distinct().collect()]
+    size = F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
+    cut = sessions.select("session_id", F.col("started_at").alias("_at"), size.alias("_n")).where(F.length("session_id") >= F.col("_n"))
+    place = F.sequence(F.lit(1), F.length("session_id") - F.col("_n") + 1)
+    parts = cut.select("session_id", "_at", F.explode(F.array_distinct(F.transform(place, lambda k: F.substr("session_id", k, F.col("_n"))))).alias("_ref"))
+    first = W.partitionBy("_ref").orderBy(F.col("_at").desc_nulls_last(), "session_id")
+    newest = parts.join(asked.select(F.col("session_ref").alias("_ref")).distinct(), "_ref", "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    found = incidents.join(newest.select("_ref", "session_id"), F.col("session_ref") == F.col("_ref"), "left").drop("_ref")
     status = F.when(F.col("session_ref").isNull() | (F.col("session_ref") == ""), "not_provided").when(F.col("session_id").isNull(), "unresolved").otherwise("resolved")
-    return incidents.join(best, "incident_id", "left").withColumn("session_ref_status", status)
+    return found.withColumn("session_ref_status", status)

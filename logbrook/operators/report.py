@@ -32,7 +32,10 @@ def high_count(found: Column) -> Column:
 
 
 def placeholders(found: DataFrame, *keys: str) -> DataFrame:
-    """Per placeholder: category and pattern where it was seen first, and all its locations in order."""
+    """Per placeholder: category and pattern where it was seen first, and all its locations in order.
+
+    keys name a bundle, whose payload limit bounds the locations; beyond one bundle see placeholder_counts.
+    """
     order = F.struct("file", "line", "column", "pass")
     return found.groupBy(*keys, "placeholder").agg(
         F.min_by("category", order).alias("category"), F.min_by("pattern", order).alias("pattern_name"),
@@ -40,6 +43,12 @@ def placeholders(found: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def placeholder_counts(found: DataFrame, *keys: str) -> DataFrame:
+    """Per placeholder: category, locations and files, combined map-side; for more than one bundle's worth of changes."""
+    order = F.struct("file", "line", "column", "pass")
+    return found.groupBy(*keys, "placeholder").agg(F.min_by("category", order).alias("category"), F.count(F.lit(1)).alias("n_locations"), F.count_distinct("file").alias("n_files"))
+
+
 def report(redacted: DataFrame, *keys: str, file: str = "path") -> DataFrame:
     """One JSON report per bundle (keys): totals, counts and placeholders; unresolved counts what a second scan finds."""
     found = changes(redacted, file, *keys)

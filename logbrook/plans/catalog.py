@@ -189,8 +189,7 @@ def rollup_report(spark, sf_dir):
 def placeholder_locations(spark, sf_dir):
     docs = _documents(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
     done = redact.redact(docs, "text", registry=P.Registry((_pattern("ipv4_address"),)), salt=SALT, changes="changes")
-    found = report.placeholders(report.changes(done))
-    return found.select("placeholder", "category", F.size("locations").cast("long").alias("n_locations"), F.size(F.array_distinct(F.transform("locations", lambda x: x["file"]))).cast("long").alias("n_files"))
+    return report.placeholder_counts(report.changes(done))
 
 
 _SUM = " + ".join(f"n_{p.name}" for p in P.PATTERNS)

@@ -7,6 +7,7 @@ opened; a selector is `last` or part of an id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -34,7 +35,11 @@ def select(sessions: DataFrame, selector: str, fold_case: bool, order: str = "st
     return sessions.where(F.lower(own).contains(selector.lower()) if fold_case else own.contains(selector))
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+#: Files that are read by name; where more are asked for, all of the home are read and the others dropped.
+NAMED = 10_000
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     try:
         found = spark.read.format("binaryFile").load(path)
     except Exception as problem:  # noqa: BLE001  no file fits the glob
@@ -57,11 +62,11 @@ class _Lines:
     def session(self) -> Column:
         return stem(F.col("path"))
 
-    def files(self) -> DataFrame:
-        return _files(self.spark, f"{self.home}/{self.glob}")
+    def files(self, named: list[str] | None = None) -> DataFrame:
+        return _files(self.spark, named or f"{self.home}/{self.glob}")
 
-    def lines(self) -> DataFrame:
-        return ev.lines(self.files(), self.session(), F.col("content"))
+    def lines(self, named: list[str] | None = None) -> DataFrame:
+        return ev.lines(self.files(named), self.session(), F.col("content"))
 
     def resolve(self, ref: str) -> DataFrame:
         return self.discover(ref).orderBy(F.col(self.order).desc_nulls_last(), "session_id").limit(1)
@@ -76,7 +81,9 @@ class _Lines:
         return out.select("session_id", F.lit(self.agent).alias("agent"), "started_at", "cwd_hint", "agent_version", F.lit(self.source_format).alias("source_format"), count.cast("long").alias("event_count"), "path", "modified")
 
     def selected(self, sessions: DataFrame) -> DataFrame:
-        return self.lines().join(sessions.select("session_id"), "session_id", "left_semi")
+        named = [r.path for r in sessions.select("path").limit(NAMED + 1).collect()] if "path" in sessions.columns else []
+        escaped = [re.sub(r"([*?\[\]{}\\\\])", r"\\\1", p) for p in named]
+        return self.lines(escaped if 0 < len(named) <= NAMED else None).join(sessions.select("session_id"), "session_id", "left_semi")
 
 
 class BlockLog(_Lines):
@@ -99,8 +106,8 @@ class RolloutLog(_Lines):
     def session(self) -> Column:
         return F.regexp_replace(stem(F.col("path")), "^rollout-", "")
 
-    def files(self) -> DataFrame:
-        return super().files().where(F.col("path").rlike(r"/\d+/\d+/\d+/[^/]*$"))
+    def files(self, named: list[str] | None = None) -> DataFrame:
+        return super().files(named).where(F.col("path").rlike(r"/\d+/\d+/\d+/[^/]*$"))
 
     def discover(self, selector: str = "") -> DataFrame:
         meta = (F.try_variant_get("v", "$.type", "string") == "session_meta") | F.try_variant_get("v", "$.session_meta", "variant").isNotNull() | F.try_variant_get("v", "$.payload", "variant").isNotNull()
@@ -117,8 +124,8 @@ class RolloutLog(_Lines):
 class RoleLog(_Lines):
     agent, source_format, glob, fold_case, order = "hermes", "hermes-jsonl", ".hermes/sessions/*.jsonl", True, "modified"
 
-    def files(self) -> DataFrame:
-        return super().files().where(~F.col("path").rlike(r"/\.[^/]*$"))
+    def files(self, named: list[str] | None = None) -> DataFrame:
+        return super().files(named).where(~F.col("path").rlike(r"/\.[^/]*$"))
 
     def discover(self, selector: str = "") -> DataFrame:
         rows = ev.parsed(self.lines())
