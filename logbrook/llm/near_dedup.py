@@ -55,6 +55,8 @@ LIKELY = 0.5
 STAR, CORE = 0.6, 0.9
 #: Signatures that are compared with as many others at a time, and outsiders of a node that is put aside.
 BLOCK = 1024
+#: Outsiders that are compared with a block of members in one group.
+OUTSIDERS = 256
 #: Rows with a signature, and rows with a set, of a task.
 SIGNATURES, SETS = 100_000, 20_000
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
@@ -206,22 +208,33 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _resembling(batches):
-    """Members of leaves whose signature is like that of a member with another label."""
+    """Members of leaves whose signature is like that of a member with another label, in groups (grp, id, label) that
+    hang together by such likenesses.  A group is named by its members, so one that met in many trees is one group.
+    """
     for table in K.groups(batches, "node"):
         node, ids, labels = (table.column(c).to_numpy() for c in ("node", "id", "label"))
         sigs = _matrix(table.column("sig"))
+        grp = np.zeros(len(node), K.U64)
         keep = np.zeros(len(node), bool)
         at = K.edges(node)
+        names = K.mix(ids.view(K.U64) ^ K.U64(0x3C79AC492BA7B653))
         for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
             if y - x == 2:
                 if (sigs[x] == sigs[x + 1]).mean() >= LIKELY:
                     keep[x:y] = True
+                    grp[x:y] = names[x] + names[x + 1]
                 continue
+            part = np.arange(y - x)
             for lo in range(x, y):
                 like = ((sigs[x:y] == sigs[lo]).mean(axis=1) >= LIKELY) & (labels[x:y] != labels[lo])
                 if like.any():
                     keep[lo] = True
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(ids[keep]), pa.array(labels[keep])], names=["node", "id", "label"])
+                    met = np.unique(part[like])
+                    part[np.isin(part, met)] = part[lo - x]
+            for k in np.unique(part[keep[x:y]]).tolist():
+                mine = x + np.flatnonzero((part == k) & keep[x:y])
+                grp[mine] = np.add.reduce(names[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(K.mix(grp[keep]).view(np.int64)), pa.array(ids[keep]), pa.array(labels[keep])], names=["grp", "id", "label"])
 
 
 def shares(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -307,8 +320,9 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
         labelled = classes.withColumn("label", F.col("id")) if known is None else classes.join(known, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
         leaves, stars, aside = grow(labelled, which, core, scratch, name, threshold)
         rows = leaves.join(classes, "id").repartition(dealt(leaves, SIGNATURES), "node").sortWithinPartitions("node", "id")
-        likely = scratch.write(rows.select("node", "id", "label", "sig").mapInArrow(_resembling, _NODE), f"{name}-likely")
-        groups = likely.withColumnRenamed("node", "grp").unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"))
+        likely = rows.select("node", "id", "label", "sig").mapInArrow(_resembling, "grp long, id long, label long")
+        likely = scratch.write(likely.distinct(), f"{name}-likely")
+        groups = likely.unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"))
         sets = _wanted(docs, classes, groups.select("id"), scratch, name, id_col, text_col, shingle)
         found = _links(groups, sets, threshold, scratch, name)
         links = found if links is None else links.unionByName(found)
@@ -329,7 +343,7 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
 
 
 def _alike(batches):
-    """Of each block of outsiders and members: those with a likely partner of another label, in groups of at most twice LEAF."""
+    """Of each block of outsiders and members: those with a likely partner of another label, OUTSIDERS outsiders to a group."""
     for table in K.groups(batches, "grp"):
         group, ids, labels = (table.column(c).to_numpy() for c in ("grp", "id", "label"))
         inside = table.column("inside").to_numpy().astype(bool)
@@ -338,15 +352,14 @@ def _alike(batches):
         at = K.edges(group)
         for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
             rows, others = x + np.flatnonzero(~inside[x:y]), x + np.flatnonzero(inside[x:y])
-            for i in range(0, len(rows), LEAF):
-                for j in range(0, len(others), LEAF):
-                    a, b = rows[i : i + LEAF], others[j : j + LEAF]
-                    like = np.stack([(sigs[b] == sigs[r]).mean(axis=1) >= LIKELY for r in a]) & (labels[a][:, None] != labels[b])
-                    if like.any():
-                        kept = np.concatenate([a[like.any(axis=1)], b[like.any(axis=0)]])
-                        kept = kept[np.unique(ids[kept], return_index=True)[1]]
-                        name = K.mix(group[x : x + 1].view(K.U64) ^ K.U64((i // LEAF) << 32 | j // LEAF + 1)).view(np.int64)[0]
-                        out.append((int(name), kept))
+            for i in range(0, len(rows), OUTSIDERS):
+                a = rows[i : i + OUTSIDERS]
+                like = np.stack([((sigs[others] == sigs[r]).mean(axis=1) >= LIKELY) & (labels[others] != labels[r]) for r in a])
+                if like.any():
+                    kept = np.concatenate([a[like.any(axis=1)], others[like.any(axis=0)]])
+                    kept = kept[np.unique(ids[kept], return_index=True)[1]]
+                    name = K.mix(group[x : x + 1].view(K.U64) ^ K.U64(i // OUTSIDERS + 1)).view(np.int64)[0]
+                    out.append((int(name), kept))
         kept = np.concatenate([k for _, k in out]) if out else np.zeros(0, np.int64)
         names = np.repeat(np.array([n for n, _ in out], np.int64), [len(k) for _, k in out])
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[kept]), pa.array(labels[kept])], names=["grp", "id", "label"])
