@@ -91,10 +91,11 @@ def preview(files: DataFrame, *keys: str) -> DataFrame:
     return sums.withColumns({"medium_confidence_count": medium, "risk_level": level, "export_blocked": level.isin("blocked", "high")})
 
 
-def warnings(redacted: DataFrame, file: str = "path", registry: Registry | None = None) -> DataFrame:
-    """One warning per file that has a medium match: its first."""
+def warnings(redacted: DataFrame, file: str = "path", registry: Registry | None = None, by_pass: bool = False) -> DataFrame:
+    """One warning per file that has a medium match: its first in the text, or with by_pass that of the pattern applied first."""
     names = (registry or Registry()).names("medium")
-    first = F.get(F.filter("changes", lambda x: x["pattern"].isin(names)), F.lit(0))
+    medium = F.filter("changes", lambda x: x["pattern"].isin(names))
+    first = F.array_min(F.transform(medium, lambda x: F.struct(x["pass"].alias("pass"), x["pattern"].alias("pattern")))) if by_pass else F.get(medium, F.lit(0))
     message = F.concat(F.lit("Medium-confidence pattern '"), first["pattern"], F.lit("' matched — verify manually"))
     return redacted.select(F.col(file).alias("path"), first["pattern"].alias("pattern"), message.alias("warning")).where("pattern is not null")
 

@@ -93,3 +93,23 @@ def test_snippet_is_clipped(spark):
     text = "a" * 100 + "<P>" + "b" * 100
     out = spark.createDataFrame([(text,)], "t string").select(snippet(F.col("t"), F.lit("<P>"))).first()[0]
     assert out == "..." + "a" * 30 + "<P>" + "b" * 30 + "..."
+
+
+def test_first_medium_warning_by_place_and_by_pass(spark):
+    df = spark.createDataFrame([("a", "at 10.0.0.1 and me@example.org"), ("b", "me@example.org at 10.0.0.1"), ("c", "plain")], "path string, text string")
+    done = redact(df, "text", mask=True, changes="changes")
+    assert {r.path: r.pattern for r in report.warnings(done).collect()} == {"a": "ipv4_address", "b": "email"}
+    assert {r.path: r.pattern for r in report.warnings(done, by_pass=True).collect()} == {"a": "email", "b": "email"}
+
+
+def test_medium_warnings_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from logbrook.plans import catalog
+
+    rows = [(i, "s", text) for i, text in enumerate(["at 10.0.0.1", "10.0.0.1 then me@example.org", "me@example.org", "plain"] * 7)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(f"SELECT path, pattern, warning FROM ({catalog.ORACLE['medium_warnings']})").fetchall()
+    assert sorted(map(tuple, catalog.medium_warnings(spark, str(tmp_path)).select("path", "pattern", "warning").collect())) == sorted(expected)
