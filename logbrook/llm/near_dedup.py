@@ -160,13 +160,14 @@ def _grow(threshold: float, core: float):
 _NODE = "node long, id long, label long"
 
 
-def grow(classes: DataFrame, which: range, core: float, scratch, name: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grow(classes: DataFrame, sigs: DataFrame, which: range, core: float, scratch, name: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trees over classes (id, sig, label): leaves (node, id, label) of 2 to LEAF members; stars (the same and chunk)
     with their pivots in each chunk; and what is left to the comparison of outsiders (node, id).  Nodes of one label are gone.
+
+    `sigs` (id, sig) is a written table: each level reads it twice, while classes, which may be a join, is read once.
     """
     level = classes.mapInArrow(_plant(threshold, which), _NODE)
     leaves, stars, aside = [], [], []
-    sigs = classes.select("id", "sig")
     for depth in range(DEPTH + 1):
         level = scratch.write(level, f"{name}-level-{depth}")
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "label")).alias("p")).where("lo < hi")
@@ -318,7 +319,7 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     links, known, left = None, None, []
     for name, which, core in (("one", range(1), STAR), ("rest", range(1, TREES), CORE)):
         labelled = classes.withColumn("label", F.col("id")) if known is None else classes.join(known, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
-        leaves, stars, aside = grow(labelled, which, core, scratch, name, threshold)
+        leaves, stars, aside = grow(labelled, classes.select("id", "sig"), which, core, scratch, name, threshold)
         rows = leaves.join(classes, "id").repartition(dealt(leaves, SIGNATURES), "node").sortWithinPartitions("node", "id")
         likely = rows.select("node", "id", "label", "sig").mapInArrow(_resembling, "grp long, id long, label long")
         likely = scratch.write(likely.distinct(), f"{name}-likely")

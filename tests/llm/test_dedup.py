@@ -68,6 +68,21 @@ def test_near_dedup_large_nodes_at_the_last_level(docs, scratch, monkeypatch):
     assert {k: v[1] for k, v in near(docs, scratch, rows).items()} == expected
 
 
+def test_near_dedup_labels_are_joined_once_a_round(docs, scratch, monkeypatch):
+    for name, value in (("LEAF", 8), ("BLOCK", 2), ("DEPTH", 1), ("TREES", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    plans, write = {}, scratch.write
+
+    def watched(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, *more)
+
+    monkeypatch.setattr(scratch, "write", watched)
+    near(docs, scratch, family(rng(6), 40, 21, 0, 0))
+    assert plans["rest-level-0"].count("LeftOuter") == 1
+    assert "LeftOuter" not in plans["rest-grown-0"]  # the signatures of members and pivots come without the labels
+
+
 def test_near_dedup_odd_tables(spark, docs, scratch):
     assert near(docs, scratch, []) == {}
     text = "one two three four five six"
