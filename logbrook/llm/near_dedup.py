@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .scratch import dealt
+from .scratch import dealt, few
 
 SHINGLE, THRESHOLD = 5, 0.75
 COORDINATES, TREES, LEAF, DEPTH = 64, 10, 64, 6
@@ -57,6 +57,8 @@ STAR, CORE = 0.6, 0.9
 BLOCK = 1024
 #: Outsiders that are compared with a block of members in one group.
 OUTSIDERS = 256
+#: Sets that are compared with one at a time, at least, by numbers instead of hashes.
+MANY = 4
 #: Rows with a signature, and rows with a set, of a task.
 SIGNATURES, SETS = 100_000, 20_000
 #: Ids that are broadcast to pick documents; more are joined by shuffling.
@@ -167,33 +169,35 @@ def grow(classes: DataFrame, sigs: DataFrame, which: range, core: float, scratch
     `sigs` (id, sig) is a written table: each level reads it twice, while classes, which may be a join, is read once.
     """
     level = classes.mapInArrow(_plant(threshold, which), _NODE)
-    leaves, stars, aside = [], [], []
+    leaves, stars, aside, total = [], [], [], 0
     for depth in range(DEPTH + 1):
         level = scratch.write(level, f"{name}-level-{depth}")
+        rows = level.count()
+        total += rows
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", "node").alias("h"), "id", "label")).alias("p")).where("lo < hi")
-        sizes = scratch.write(sizes.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label")), f"{name}-sizes-{depth}")
+        sizes = scratch.write(few(sizes.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label")), rows), f"{name}-sizes-{depth}")
         leaves.append(level.join(sizes.where(F.col("n") <= LEAF).select("node"), "node"))
         large = sizes.where(F.col("n") > LEAF)
         if not large.take(1):
             break
-        members = scratch.write(level.join(large, "node"), f"{name}-members-{depth}")
+        members = scratch.write(few(level.join(large, "node"), rows), f"{name}-members-{depth}")
         if depth == DEPTH:  # what no depth tells apart
             aside.append(members.select("node", "id"))
             break
-        main = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max("k").alias("k"))
-        split = scratch.write(large.join(main, "node").select("node", (F.col("n") - F.col("k") > BLOCK).alias("many")), f"{name}-split-{depth}")
+        main = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.sum("k").alias("n"), F.max("k").alias("k"))
+        split = scratch.write(few(main.select("node", (F.col("n") - F.col("k") > BLOCK).alias("many")), rows), f"{name}-split-{depth}")
         aside.append(members.join(split.where("not many"), "node", "left_semi").select("node", "id"))
         chunks = F.ceil(F.col("n") / (LEAF // 2)).cast("long").alias("chunks")
         many = members.join(split.where("many"), "node", "left_semi").select("node", "id", "label", "pivot", chunks)
         many = many.join(sigs.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot").join(sigs, "id")
-        grown = scratch.write(many.select("node", "id", "label", "chunks", "sig", "pivot_sig").mapInArrow(_grow(threshold, core), f"{_NODE}, chunk long"), f"{name}-grown-{depth}")
+        grown = scratch.write(few(many.select("node", "id", "label", "chunks", "sig", "pivot_sig").mapInArrow(_grow(threshold, core), f"{_NODE}, chunk long"), rows), f"{name}-grown-{depth}")
         star = grown.where("chunk >= 0")
         used = star.select("node", "chunk").distinct().join(large.select("node", F.col("pivot").alias("id"), F.col("pivot_label").alias("label")), "node")
         stars.append(star.unionByName(used))
         level = grown.where("chunk < 0").select("node", "id", "label")
-    leaf = scratch.write(_union(leaves), f"{name}-leaves")
-    star = scratch.write(_union(stars or [leaf.where("false").withColumn("chunk", F.lit(0).cast("long"))]).distinct(), f"{name}-stars")
-    left = scratch.write(_union(aside or [leaf.where("false").select("node", "id")]), f"{name}-aside")
+    leaf = scratch.write(few(_union(leaves), total), f"{name}-leaves")
+    star = scratch.write(few(_union(stars or [leaf.where("false").withColumn("chunk", F.lit(0).cast("long"))]).distinct(), total), f"{name}-stars")
+    left = scratch.write(few(_union(aside or [leaf.where("false").select("node", "id")]), total), f"{name}-aside")
     scratch.drop(*[f"{name}-{x}-{d}" for d in range(DEPTH + 1) for x in ("level", "sizes", "members", "split", "grown")])
     return leaf, star, left
 
@@ -223,7 +227,7 @@ def _resembling(batches):
             if y - x == 2:
                 if (sigs[x] == sigs[x + 1]).mean() >= LIKELY:
                     keep[x:y] = True
-                    grp[x:y] = names[x] + names[x + 1]
+                    grp[x:y] = np.add.reduce(names[x:y])
                 continue
             part = np.arange(y - x)
             for lo in range(x, y):
@@ -250,6 +254,17 @@ def shares(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return 100 * common >= percent * (least + most - common)
 
 
+def shares_many(one: np.ndarray, ends: np.ndarray, flat: np.ndarray, which: np.ndarray, flags: np.ndarray, threshold: float) -> np.ndarray:
+    """shares() of one set with those of `which`, which are runs of `flat` that end at `ends`; shingles are numbers below len(flags)."""
+    percent, starts = round(100 * threshold), np.concatenate(([0], ends[:-1]))[which]
+    sizes = ends[which] - starts
+    places = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    flags[one] = True
+    common = np.add.reduceat(flags[flat[places]].astype(np.int64), np.cumsum(sizes) - sizes)
+    flags[one] = False
+    return 100 * common >= percent * (len(one) + sizes - common)
+
+
 def _join(threshold: float):
     """Links that join the components of each group; `label` is what is known to be joined already."""
 
@@ -264,12 +279,19 @@ def _join(threshold: float):
                 _, comp = np.unique(labels[x:y], return_inverse=True)
                 comp = comp.copy()
                 sketch = sigs[x:y]
+                ends, flat, flags = np.cumsum([len(s) for s in sets[x:y]]), None, None
                 for i in range(y - x):
                     if (comp == comp[0]).all():
                         break
                     like = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
-                    for j in (np.flatnonzero((comp[i + 1 :] != comp[i]) & (like >= LIKELY)) + i + 1).tolist():
-                        if comp[i] != comp[j] and shares(sets[x + i], sets[x + j], threshold):
+                    met = np.flatnonzero((comp[i + 1 :] != comp[i]) & (like >= LIKELY)) + i + 1
+                    if sure := len(met) >= MANY:
+                        if flat is None:
+                            names, flat = np.unique(np.concatenate(sets[x:y]), return_inverse=True)
+                            flags = np.zeros(len(names), bool)
+                        met = met[shares_many(flat[ends[i] - len(sets[x + i]) : ends[i]], ends, flat, met, flags, threshold)]
+                    for j in met.tolist():
+                        if comp[i] != comp[j] and (sure or shares(sets[x + i], sets[x + j], threshold)):
                             out.append((int(ids[x + i]), int(ids[x + j])))
                             comp[comp == comp[j]] = comp[i]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
@@ -289,10 +311,10 @@ def _sets(shingle: int):
 
 def _wanted(docs: DataFrame, classes: DataFrame, ids: DataFrame, scratch, name: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, sig, shingles) of the given ids; their texts are read again rather than kept."""
-    ids = scratch.write(ids.distinct(), f"wanted-{name}")
-    few = ids.count() <= BROADCAST_IDS
+    ids = scratch.write(few(ids.distinct(), ids.count()), f"wanted-{name}")
+    small = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    rows = rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     sets = scratch.write(rows.mapInArrow(_sets(shingle), "id long, shingles binary"), f"sets-{name}")
     scratch.drop(f"wanted-{name}")
     return sets.join(classes.select("id", "sig"), "id")
@@ -302,7 +324,7 @@ def _links(groups: DataFrame, sets: DataFrame, threshold: float, scratch, name:
     """Links of groups (grp, id, label)."""
     groups = scratch.write(groups, f"groups-{name}")
     rows = groups.join(sets, "id").repartition(dealt(groups, SETS), "grp").sortWithinPartitions("grp", "id")
-    out = scratch.write(rows.select("grp", "id", "label", "sig", "shingles").mapInArrow(_join(threshold), "a long, b long"), f"links-{name}")
+    out = scratch.write(few(rows.select("grp", "id", "label", "sig", "shingles").mapInArrow(_join(threshold), "a long, b long"), groups.count(), SETS // 2), f"links-{name}")
     scratch.drop(f"groups-{name}", f"sets-{name}")
     return out
 
@@ -310,11 +332,12 @@ def _links(groups: DataFrame, sets: DataFrame, threshold: float, scratch, name:
 def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: id, n_shingles, component."""
     prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
+    n = prints.count()
     full = prints.where("n_shingles > 0 and id is not null")
-    named = scratch.write(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "named")
+    named = scratch.write(few(full.groupBy("d1", "d2").agg(F.min("id").alias("rep")), n), "named")
     same = (F.col("id") == F.col("rep")) & (F.col("x1") == F.col("d1")) & (F.col("x2") == F.col("d2"))
     reps = full.join(named.withColumnsRenamed({"d1": "x1", "d2": "x2"}), same, "left_semi")
-    classes = scratch.write(reps.select("id", "sig"), "classes")
+    classes = scratch.write(few(reps.select("id", "sig"), n), "classes")
 
     links, known, left = None, None, []
     for name, which, core in (("one", range(1), STAR), ("rest", range(1, TREES), CORE)):
@@ -322,7 +345,7 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
         leaves, stars, aside = grow(labelled, classes.select("id", "sig"), which, core, scratch, name, threshold)
         rows = leaves.join(classes, "id").repartition(dealt(leaves, SIGNATURES), "node").sortWithinPartitions("node", "id")
         likely = rows.select("node", "id", "label", "sig").mapInArrow(_resembling, "grp long, id long, label long")
-        likely = scratch.write(likely.distinct(), f"{name}-likely")
+        likely = scratch.write(few(likely.distinct(), leaves.count()), f"{name}-likely")
         groups = likely.unionByName(stars.select(F.xxhash64("node", "chunk").alias("grp"), "id", "label"))
         sets = _wanted(docs, classes, groups.select("id"), scratch, name, id_col, text_col, shingle)
         found = _links(groups, sets, threshold, scratch, name)
@@ -331,13 +354,13 @@ def near_components(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
             known = components(links, scratch, f"round-{name}")
         left += [aside, stars.select("node", "id")]
         scratch.drop(f"{name}-leaves", f"{name}-likely")
-    alike = _outsiders(_union(left).distinct(), known, classes, scratch)
+    alike = _outsiders(_union(left), known, classes, scratch)
     if alike is not None:
         sets = _wanted(docs, classes, alike.select("id"), scratch, "last", id_col, text_col, shingle)
         found = _links(alike, sets, threshold, scratch, "last")
         if found.take(1):
             known = components(links.unionByName(found), scratch, "round-last")
-    found = scratch.write(named.join(known, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
+    found = scratch.write(few(named.join(known, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), n), "found")
     scratch.drop("classes", "named", "one-stars", "one-aside", "rest-stars", "rest-aside", "links-one", "links-rest", "links-last")
     out = prints.select("id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
     return out.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
@@ -373,25 +396,26 @@ def _outsiders(crowds: DataFrame, known: DataFrame, classes: DataFrame, scratch)
     Nodes of which the same component holds the greater part are one crowd, so that an outsider that met
     it in many trees is compared with it once.
     """
-    labelled = crowds.join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-    labelled = scratch.write(labelled, "crowd-labels")
+    labelled = crowds.distinct().join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+    rows = crowds.count()
+    labelled = scratch.write(few(labelled, rows), "crowd-labels")
     counts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).where("labels > 1")
     crowd = F.when(2 * F.col("m.n") > F.col("all"), F.xxhash64("m.label", F.lit(3))).otherwise(F.col("node"))
     nodes = nodes.select("node", crowd.alias("crowd"), F.col("m.label").alias("main"))
-    mixed = scratch.write(labelled.join(nodes, "node").select("crowd", "main", "id", "label").distinct(), "mixed")
+    mixed = scratch.write(few(labelled.join(nodes, "node").select("crowd", "main", "id", "label").distinct(), rows), "mixed")
     if not mixed.take(1):
         return None
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
     sizes = mixed.groupBy("crowd").agg(blocks(F.count_if(F.col("label") != F.col("main"))).alias("o"), blocks(F.count(F.lit(1))).alias("c"))
-    mixed = scratch.write(mixed.join(sizes, "crowd"), "crowds")
+    mixed = scratch.write(few(mixed.join(sizes, "crowd"), rows), "crowds")
     place = F.xxhash64("id", "crowd")
     one, two = F.pmod(place, F.col("o")), F.pmod(place, F.col("c"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     outside = mixed.where("label <> main").select("crowd", "id", "label", one.alias("i"), each("c").alias("j"), F.lit(False).alias("inside"))
     members = mixed.select("crowd", "id", "label", each("o").alias("i"), two.alias("j"), F.lit(True).alias("inside"))
     both = scratch.write(outside.unionByName(members).select(F.xxhash64("crowd", "i", "j").alias("grp"), "id", "label", "inside"), "blocks")
-    rows = both.join(classes.select("id", "sig"), "id").repartition(dealt(both, SIGNATURES), "grp").sortWithinPartitions("grp", "id")
-    alike = scratch.write(rows.select("grp", "id", "label", "inside", "sig").mapInArrow(_alike, "grp long, id long, label long"), "alike")
+    dealt_out = both.join(classes.select("id", "sig"), "id").repartition(dealt(both, SIGNATURES), "grp").sortWithinPartitions("grp", "id")
+    alike = scratch.write(few(dealt_out.select("grp", "id", "label", "inside", "sig").mapInArrow(_alike, "grp long, id long, label long"), both.count()), "alike")
     scratch.drop("crowd-labels", "mixed", "crowds", "blocks")
     return alike

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from brute import components, mutate, prose, rng, words
 from pyspark.sql import functions as F
@@ -17,6 +18,50 @@ def test_components(spark, scratch):
     assert C.components(spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
 
 
+@pytest.mark.parametrize("one_task", (0, 40, 10**6))
+def test_components_in_rounds_and_in_one_task(spark, scratch, monkeypatch, one_task):
+    monkeypatch.setattr(C, "ONE_TASK", one_task)
+    written, write = [], scratch.write
+    monkeypatch.setattr(scratch, "write", lambda df, name: (written.append(name), write(df, name))[1])
+    g = rng(31)
+    links = [(g.randrange(90), g.randrange(90)) for _ in range(50)] + [(200 - i, 199 - i) for i in range(30)]
+    up = list(range(201))
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    found = {r.id: r.component for r in C.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+    assert found == {i: up[i] for link in links if link[0] != link[1] for i in link}
+    assert (len(written) == 1) == (one_task == 10**6)  # few links cost one table, not one for every jump
+
+
+def test_many_sets_are_compared_as_pairs_are():
+    g = np.random.default_rng(4)
+    base = g.choice(1 << 60, 100, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([g.choice(base, k, replace=False), g.integers(0, 1 << 60, 100 - k).astype(np.uint64)])) for k in (100, 93, 92, 86, 85, 84, 60, 100)]
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, flags = np.cumsum([len(x) for x in sets]), np.zeros(len(names), bool)
+    for i, one in enumerate(sets):
+        which = np.array([j for j in range(len(sets)) if j != i])
+        found = near_dedup.shares_many(flat[ends[i] - len(one) : ends[i]], ends, flat, which, flags, 0.75)
+        assert found.tolist() == [near_dedup.shares(one, sets[j], 0.75) for j in which]
+        assert not flags.any()
+
+
+def test_near_dedup_of_few_rows_writes_few_files(spark, docs, scratch):
+    g, before = rng(32), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i, prose(g, 40)) for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files, write = {}, scratch.write
+    scratch.write = lambda df, name: files.setdefault(name, write(df, name))
+    try:
+        near_dedup.near_components(docs(rows), scratch)
+        assert files["found"].count() == 300 and len(files["found"].inputFiles()) <= 4 * 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def near(docs, scratch, rows):
     return {r.id: (r.n_shingles, r.component) for r in near_dedup.near_components(docs(rows), scratch).collect()}
 
