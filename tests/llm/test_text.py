@@ -2,6 +2,9 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import alnum, fold, prose, rng, words
 
@@ -338,6 +341,46 @@ def test_lm_table_counts_follow_the_restaurant():
         assert abs(seats.tables().mean() - mean) < (0.05 if rounds == "one" else 0.15) * mean, (count, seats.tables().mean(), mean)
 
 
+def test_lm_totals_are_few_rows_however_many_parts(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    g = np.random.default_rng(8)
+    ints = lambda x: np.asarray(x, np.int32).tobytes()
+    customers, tables, rows = np.zeros(256, np.int64), np.zeros(256, np.int64), []
+    for part in range(40):
+        context, count = np.sort(g.integers(0, 256, 300)), g.integers(1, 9, 300)
+        mine = g.integers(1, count + 1)
+        np.add.at(customers, context, count)
+        np.add.at(tables, context, mine)
+        rows.append((context.astype(np.uint64).tobytes(), count.tobytes(), ints(mine), ints([2, part])))
+    names = ["keys", "counts", "tables", "root_tables"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows[at : at + 8])], names=names) for at in range(0, 40, 8)]
+    found = [lm_score._totals(8)(iter(x)) for x in (batches[:2], batches[2:])]
+    found = pa.Table.from_batches([b for x in found for b in x])
+    assert found.num_rows == 2 * (256 // 64 + 1)  # of two tasks
+    for block in range(4):
+        summed = lm_score._summed(found.filter(pc.equal(found["block"], block))).to_pylist()[0]
+        assert np.array_equal(np.frombuffer(summed["customers"], np.int64), customers[64 * block : 64 * block + 64])
+        assert np.array_equal(np.frombuffer(summed["tables"], np.int64), tables[64 * block : 64 * block + 64])
+    root = lm_score._summed(found.filter(pc.equal(found["block"], -1))).to_pylist()[0]
+    assert np.frombuffer(root["tables"], np.int64).tolist() == [40 * 2 + sum(range(40))]
+
+
+def test_lm_sweeps_read_the_files_of_the_one_before(spark, docs, scratch, monkeypatch):
+    rows = scratch.write(docs([(i, f"a b c w{i} x{i % 7}") for i in range(300)]), "rows")  # files have a known size, so parts are few
+    plans, parts, write = {}, {}, scratch.write
+
+    def watched(df, name):
+        plans[name], parts[name] = df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions() if name == "state-2" else 0
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "write", watched)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert lm_score.score(rows, scratch).count() == 300
+    assert "Exchange" in plans["state-0"] and not any("Exchange" in plans[f"state-{k}"] for k in (1, 2, 3))
+    assert parts["state-2"] > 1  # the files are small, yet not in one task
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 def test_lm_in_groups_of_slices_and_empty_tables(spark, docs, scratch, monkeypatch):
     g = rng(13)
     rows = [(i, prose(g, 40, 50)) for i in range(200)] + [(300, prose(g, 30000, 50))]
