@@ -1,6 +1,8 @@
 import hashlib
 import math
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -396,6 +398,38 @@ def test_lm_in_groups_of_slices_and_empty_tables(spark, docs, scratch, monkeypat
     assert only and all(r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.score, 0.0, abs_tol=1e-6) for r in only)
 
 
+def test_lm_passes_leave_no_shuffle_files_or_answers(spark, docs, scratch, monkeypatch):
+    assert lm_score._passes([]) == [(0, 0)] and lm_score._passes([5, 7]) == [(5, 7)]
+    for n in (8, 23, 24, 118, 7500):
+        found = lm_score._passes(list(range(0, 3 * n, 3)))
+        assert [a for a, _ in found] == [0, *[b + 3 for _, b in found[:-1]]] and found[-1][1] == 3 * n - 3  # each slice in one pass
+        assert max(b - a for a, b in found) // 3 < lm_score.ASKING * lm_score.FAN and len(found) == max(min(3, n // 8), -(-n // 512))
+    g = rng(14)
+    rows = scratch.write(docs([(i, prose(g, 40, 50)) for i in range(100)]), "rows")  # files have a known size, so parts are few
+    whole = {r.id: r for r in lm_score.score(rows, scratch).collect()}
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "LEAST", 2)
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    again, left, there = type(scratch)(spark, "passes"), files(), {}
+    write = again.write
+
+    def watched(df, name):
+        there[name] = {x.name for x in Path(again.path.removeprefix("file:")).glob("*")}
+        return write(df, name)
+
+    monkeypatch.setattr(again, "write", watched)
+    found = lm_score.score(rows, again)
+    cut = {r.id: r for r in found.collect()}
+    assert {"answers-0", "answers-1", "answers-2"} <= set(there) and there["answers-2"] == {"index", "state-3", "scores-0", "scores-1"}
+    assert whole.keys() == cut.keys() and all(whole[i][:6] == pytest.approx(cut[i][:6], rel=1e-9) and math.isclose(whole[i].score, cut[i].score, rel_tol=1e-3) for i in whole)
+    for _ in range(50):  # executors are told to delete them and nobody waits
+        if not files() - left:
+            break
+        time.sleep(0.2)
+    assert not files() - left
+
+
 def test_warc_round_trip(spark, scratch):
     g = rng(12)
     big = prose(g, 9000)
